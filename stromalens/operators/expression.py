@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
 from .align import gene_set_join
-from .ranking import average_rank
+from . import tiles
+from .ranking import average_rank, exact_quantiles
+from .spatial import CASE, with_case
 
 PSEUDOCOUNT = 0.05
 
@@ -146,3 +148,30 @@ def distance_expression_coupling(expression: DataFrame, distances: DataFrame) ->
     rho = F.when((var_v > 0) & (var_d > 0), cov / F.sqrt(F.when(var_v > 0, var_v) * var_d))
     return g.select("gene", n.cast("bigint").alias("n_cells"), F.col("n_nonzero").alias("n_nonzero_cells"),
                     rho.alias("spearman_rho"), (F.col("sum_v") / n).alias("mean_expression"))
+
+
+def program_activity(expression: DataFrame, sets: DataFrame, cells: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """Distance from the most active cells of each program to every cell type (ours).
+
+    Cells scoring above the program's quantile are kept and searched for as one point
+    cloud per program: ``(pathway, celltype, retained_cell_count, d)``.
+    """
+    scores = program_scores(expression, sets)
+    cuts = exact_quantiles(scores, ["pathway"], "score", {"cut": quantile})
+    kept = scores.join(cuts, "pathway").filter("score > cut").select("pathway", "cell_id")
+    active = with_case(kept.join(cells.select("cell_id", "x", "y"), "cell_id"))
+    a = tiles.pack(active.select(CASE, "pathway", "cell_id", "x", "y"), [CASE])
+    b = tiles.pack(with_case(cells).select(CASE, F.col("cluster").alias("celltype"), "x", "y").distinct(), [CASE, "celltype"])
+    near = tiles.nearest(a, b, [CASE], [CASE, "pathway", "cell_id"])
+    return near.groupBy("pathway", "celltype").agg(F.count("*").alias("retained_cell_count"), F.avg("d").alias("d"))
+
+
+def data_profile(expression: DataFrame, cell_clusters: DataFrame) -> DataFrame:
+    """Cells per cluster and medians of counts and genes per cell; cells without a cluster are ``unassigned``."""
+    per_cell = expression.groupBy("cell_id", "gene").agg(F.sum("n").alias("n")).groupBy("cell_id").agg(
+        F.sum("n").alias("total"), F.count("*").cast("double").alias("genes"))
+    rows = (cell_clusters.withColumn("cluster", F.coalesce("cluster", F.lit("unassigned"))).join(per_cell, "cell_id", "left")
+            .fillna(0.0, ["total", "genes"]))
+    counts = rows.groupBy("cluster").agg(F.count("*").alias("n_cells"))
+    return (counts.join(exact_quantiles(rows, ["cluster"], "total", {"median_counts": 0.5}), "cluster")
+            .join(exact_quantiles(rows, ["cluster"], "genes", {"median_genes": 0.5}), "cluster"))

@@ -62,3 +62,31 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         ranks = totals.withColumn("_first", F.lit(0))
     ranks = ranks.select(*keys, value, (F.col("_before") - F.col("_first") + (F.col("_ties") + 1) / 2).alias(name))
     return df.join(ranks, [*keys, value])
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles per key, one named column each; nulls do not count.
+
+    The built-in ``percentile`` gathers the distinct values of a key in one task. Here
+    the values are counted, sorted across the cluster, and only the two order
+    statistics around each quantile are kept.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_q")).agg(F.count("*").alias("_ties"))
+    totals = running_total(counts, [*keys, "_q"], F.col("_ties"), "_before")
+    spans = totals.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("_ties").alias("_n"))
+    # null-safe so that a null key is a group like any other
+    on = F.lit(True)
+    for k in keys:
+        on = on & totals[k].eqNullSafe(spans[k])
+    joined = totals.join(spans, on) if keys else totals.join(F.broadcast(spans))
+    rows = joined.select(*[spans[k] for k in keys], "_q", (F.col("_before") - F.col("_first")).alias("_at"), "_ties", "_n")
+    aggs = []
+    for name, q in quantiles.items():
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+
+        def at(rank):
+            return F.max(F.when((F.col("_at") <= rank) & (rank < F.col("_at") + F.col("_ties")), F.col("_q")))
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        part = F.max(pos - F.floor(pos))
+        aggs.append((low + (high - low) * part).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)

@@ -90,7 +90,7 @@ def contours(spark, sf) -> DataFrame:
     """Contour classifications: top class from the event, a second class from its properties."""
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("double")
-    score = F.round(F.col("value") / 400.0, 4)
+    score = F.col("value") / 400.0
     return e.select(
         F.col("event_id").alias("contour_id"),
         F.when(F.col("user_id") % 11 != 0, (F.col("user_id") % 7).cast("int")).alias("structure_id"),
@@ -101,7 +101,7 @@ def contours(spark, sf) -> DataFrame:
             F.struct(F.col("event_type").alias("label_id"), visual_label("event_type").alias("label"), score.alias("score")),
             F.struct(F.when(k < 50, "stroma_low").otherwise("plasma_high").alias("label_id"),
                      F.when(k < 50, "Fibrous stroma").otherwise("Plasma cells").alias("label"),
-                     F.round(k / 200.0, 4).alias("score")),
+                     (k / 200.0).alias("score")),
         )).alias("top_classes"),
     )
 
@@ -109,7 +109,7 @@ def contours(spark, sf) -> DataFrame:
 CONTOURS = f"""contours AS (SELECT event_id AS contour_id,
   CASE WHEN user_id % 11 <> 0 THEN CAST(user_id % 7 AS INTEGER) END AS structure_id,
   CASE WHEN user_id % 11 <> 0 THEN 'Region ' || CAST(user_id % 7 AS VARCHAR) END AS structure_name,
-  {VISUAL_LABEL('event_type')} AS top_label, round(value / CAST(400 AS DOUBLE), 4) AS top_score,
+  {VISUAL_LABEL('event_type')} AS top_label, value / CAST(400 AS DOUBLE) AS top_score,
   event_type AS label1, value >= 1.0 AS has_classes,
   CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
  classes AS (
@@ -117,7 +117,7 @@ CONTOURS = f"""contours AS (SELECT event_id AS contour_id,
     FROM contours WHERE has_classes
   UNION ALL
   SELECT contour_id, structure_id, structure_name, 2, CASE WHEN k < 50 THEN 'stroma_low' ELSE 'plasma_high' END,
-    CASE WHEN k < 50 THEN 'Fibrous stroma' ELSE 'Plasma cells' END, round(k / CAST(200 AS DOUBLE), 4)
+    CASE WHEN k < 50 THEN 'Fibrous stroma' ELSE 'Plasma cells' END, k / CAST(200 AS DOUBLE)
     FROM contours WHERE has_classes)"""
 
 
