@@ -73,13 +73,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_q")).agg(F.count("*").alias("_ties"))
     totals = running_total(counts, [*keys, "_q"], F.col("_ties"), "_before")
-    spans = totals.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("_ties").alias("_n"))
-    # null-safe so that a null key is a group like any other
-    on = F.lit(True)
-    for k in keys:
-        on = on & totals[k].eqNullSafe(spans[k])
-    joined = totals.join(spans, on) if keys else totals.join(F.broadcast(spans))
-    rows = joined.select(*[spans[k] for k in keys], "_q", (F.col("_before") - F.col("_first")).alias("_at"), "_ties", "_n")
+    spans = totals.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_before").alias("_first"), F.sum("_ties").alias("_n"))
+    if keys:
+        # null-safe so that a null key is a group like any other
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = totals.join(spans, on)
+    else:
+        span = spans.select(F.struct("_first", "_n")).scalar()
+        joined = totals.withColumn("_first", span["_first"]).withColumn("_n", span["_n"])
+    rows = joined.select(*keys, "_q", (F.col("_before") - F.col("_first")).alias("_at"), "_ties", "_n")
     aggs = []
     for name, q in quantiles.items():
         pos = F.lit(float(q)) * (F.col("_n") - 1)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.lineage import materialize
 from .ranking import dense_row_number
 
-BLOCK = 16
+BLOCK = 8
 FAN = 16
 SLACK = 1e-9  # bounding-box tests only prune when clear of rounding
 BOX = ("x0", "x1", "y0", "y1")
@@ -37,14 +37,14 @@ def _spread16(c: Column) -> Column:
 
 
 def z_order(points: DataFrame) -> Column:
-    """Z-order key of ``x, y`` on a 65536 x 65536 raster over the extent of ``points``."""
+    """Z-order key of ``x, y`` on a 65536 x 65536 raster with square pixels over the extent of ``points``."""
     box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    b = box.select(F.struct(*BOX)).scalar()
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-300))
+    b = box.select(F.struct("x0", "y0", side.alias("side"))).scalar()
 
-    def scaled(c, lo, hi):
-        width = F.greatest(hi - lo, F.lit(1e-300))
-        return F.least(F.floor((F.col(c) - lo) / width * 65536), F.lit(65535))
-    return _spread16(scaled("x", b["x0"], b["x1"])).bitwiseOR(F.shiftleft(_spread16(scaled("y", b["y0"], b["y1"])), 1))
+    def scaled(c, lo):
+        return F.least(F.floor((F.col(c) - lo) / b["side"] * 65536), F.lit(65535))
+    return _spread16(scaled("x", b["x0"])).bitwiseOR(F.shiftleft(_spread16(scaled("y", b["y0"])), 1))
 
 
 @dataclass
@@ -152,11 +152,13 @@ def nearest(a: Packed, b: Packed, on: Sequence[str], a_id: Sequence[str], b_carr
     """
     pairs = _point_pairs(nearest_blocks(a, b, on), a, b, on)
     keys = [F.col(f"a_{c}").alias(c) if c not in on else F.col(c) for c in a_id]
-    best = F.min(F.struct("d2", *[F.col(f"b_{c}") for c in b_carry])).alias("_best")
     groups = [c for c in b.by if c not in a_id]
     clash = {c for c in groups} & {c for c in a_id if c not in on}
     if clash:
         raise ValueError(f"rename {clash}: used by both sides")
+    if not b_carry:
+        return pairs.groupBy(*keys, *groups).agg(F.min("d2").alias("d")).withColumn("d", F.sqrt("d"))
+    best = F.min(F.struct("d2", *[F.col(f"b_{c}") for c in b_carry])).alias("_best")
     out = pairs.groupBy(*keys, *groups).agg(best)
     return out.select(*a_id, *groups, F.sqrt("_best.d2").alias("d"), *[F.col(f"_best.b_{c}").alias(c) for c in b_carry])
 
