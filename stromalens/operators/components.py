@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.lineage import materialize
 
@@ -96,13 +96,60 @@ def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int
     return root.unionByName(roots)
 
 
+STRIP_PIXELS = 65536  # size limit of the part of a grid that one task labels
+
+
+def _join_strips(runs: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Add ``local``: the first run connected to a run inside its strip of ``rows`` grid rows.
+
+    A strip has at most ``STRIP_PIXELS`` pixels, however large the grid or skewed the keys.
+    """
+    def label(pdf):
+        import numpy as np
+        pdf = pdf.sort_values(["iy", "x0"], ignore_index=True)
+        y, x0, x1 = (pdf[c].to_numpy() for c in ("iy", "x0", "x1"))
+        parent = list(range(len(pdf)))
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+        above = 0  # first run of the row above that may still overlap
+        for i in range(len(pdf)):
+            while above < i and (y[above] < y[i] - 1 or (y[above] == y[i] - 1 and x1[above] < x0[i])):
+                above += 1
+            j = above
+            while j < i and y[j] == y[i] - 1 and x0[j] <= x1[i]:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+                j += 1
+        first = np.array([find(i) for i in range(len(pdf))], dtype="int64")
+        return pdf.assign(local=pdf["run"].to_numpy()[first])
+
+    out = runs.withColumn("_strip", F.floor(F.col("iy") / rows))
+    schema = T.StructType([*out.schema.fields, T.StructField("local", T.LongType())])
+    return out.groupBy(*keys, "_strip").applyInPandas(label, schema).drop("_strip")
+
+
 def label_runs(runs: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Runs with ``component``: the grid position of the first pixel of their component."""
-    runs = materialize(runs.withColumn("run", F.col("iy") * width + F.col("x0")))
-    below = runs.select(*keys, (F.col("iy") + 1).alias("iy"), F.col("x0").alias("_b0"), F.col("x1").alias("_b1"), F.col("run").alias("v"))
-    edges = runs.join(below, [*keys, "iy"]).filter("x0 <= _b1 AND _b0 <= x1").select(*keys, F.col("run").alias("u"), "v")
-    roots = connected_components(edges, keys).withColumnRenamed("u", "run")
-    return runs.join(roots, [*keys, "run"], "left").withColumn("component", F.coalesce("root", "run")).drop("root", "run")
+    """Runs with ``component``: the grid position of the first pixel of their component.
+
+    Strips of bounded size are labelled inside tasks; only components meeting at a strip
+    border are merged across tasks.
+    """
+    rows = max(1, STRIP_PIXELS // width)
+    runs = runs.withColumn("run", (F.col("iy") * width + F.col("x0")).cast("bigint"))
+    runs = materialize(_join_strips(runs, keys, rows))
+    lower = runs.filter(F.pmod("iy", F.lit(rows)) == 0).select(
+        *keys, (F.col("iy") - 1).alias("iy"), F.col("x0").alias("_b0"), F.col("x1").alias("_b1"), F.col("local").alias("v"))
+    upper = runs.filter(F.pmod("iy", F.lit(rows)) == rows - 1)
+    edges = materialize(upper.join(lower, [*keys, "iy"]).filter("x0 <= _b1 AND _b0 <= x1").select(*keys, F.col("local").alias("u"), "v").distinct())
+    runs = runs.drop("run")
+    if edges.isEmpty():
+        return runs.withColumnRenamed("local", "component")
+    roots = connected_components(edges, keys).withColumnRenamed("u", "local")
+    return runs.join(roots, [*keys, "local"], "left").withColumn("component", F.coalesce("root", "local")).drop("root", "local")
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:

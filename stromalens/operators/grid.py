@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import materialize
 from . import components as C, tiles
+from .ranking import exact_quantiles
 from .spatial import CASE, with_case
 
 PIXEL = (CASE, "ix", "iy")
@@ -314,12 +315,13 @@ def polygon_export(labels: DataFrame, bounds: DataFrame, spec: DataFrame, cfg: P
     one outline, so its polygon number is 1.
     """
     from ..functions import scalars as S
-    keys = [CASE, "structure_id", "component"]
-    comp = materialize(C.label_components(labels.select(CASE, "structure_id", "ix", "iy"), [CASE, "structure_id"], cfg.bins_x))
+    keys = [CASE, "structure_id", "part"]
+    comp = C.label_components(labels.select(CASE, "structure_id", "ix", "iy"), [CASE, "structure_id"], cfg.bins_x)
+    comp = materialize(comp.select(CASE, "structure_id", F.col("component").alias("part"), "ix", "iy"))
     solid = C.fill_holes(comp, keys, cfg.bins_x, cfg.bins_y)
     rings = C.trace_rings(solid, keys, cfg.bins_x)
     rings = close_rings(thin_vertices(rings, [*keys, "ring"], max_vertices), [*keys, "ring"])
-    order = Window.partitionBy(CASE, "structure_id").orderBy("component")
+    order = Window.partitionBy(CASE, "structure_id").orderBy("part")
     numbered = comp.select(*keys).distinct()
     numbers = numbered.withColumn("component_index", F.row_number().over(order)).withColumn(
         "_components", F.count("*").over(Window.partitionBy(CASE, "structure_id")))
@@ -375,7 +377,8 @@ def density_proxy_raster(cells: DataFrame, max_side: int = 2200, min_side: int =
         own = cells.filter(F.col(CASE) == e[CASE])
         binned = own.select(CASE, bin_index("x", F.lit(x0), F.lit(x1), width).alias("ix"), bin_index("y", F.lit(y0), F.lit(y1), height).alias("iy"))
         smooth = gaussian_smooth(histogram2d(binned), [CASE], "n", sigma, width, height)
-        q = positive_quantiles(smooth, [CASE], {"q": 0.995})
+        smooth = materialize(smooth)
+        q = exact_quantiles(smooth.filter("density > 0"), [CASE], "density", {"q": 0.995})
         norm = F.least(F.col("density") / F.greatest(F.col("q"), F.lit(1e-6)), F.lit(1.0))
         rgb = smooth.join(q, CASE).select(*PIXEL, *[F.floor(a - b * norm).cast("int").alias(n) for n, a, b in
                                                      (("r", 250.0, 35.0), ("g", 244.0, 120.0), ("b", 252.0, 70.0))])
@@ -398,9 +401,10 @@ def pyramid_level(bbox: DataFrame, levels: DataFrame, max_side: int, keys: Seque
     target = F.greatest(side / F.lit(max(float(max_side), 1.0)), F.lit(1.0))
     table = levels.select("level", (base["w"] / F.col("width")).alias("sx"), (base["h"] / F.col("height")).alias("sy"))
     ladder = table.agg(F.array_sort(F.collect_list(F.struct("level", "sx", "sy")))).scalar()
-    fit = F.filter(ladder, lambda v: F.greatest(v["sx"], v["sy"]) >= target)
-    pick = F.coalesce(F.get(fit, F.lit(0)), F.element_at(ladder, -1))
-    return bbox.withColumn("_l", pick).select(*keys, "x0", "y0", "x1", "y1", "_l.level", F.col("_l.sx").alias("scale_x"), F.col("_l.sy").alias("scale_y"))
+    with_ladder = bbox.withColumn("_target", target).withColumn("_ladder", ladder)
+    fit = F.filter("_ladder", lambda v: F.greatest(v["sx"], v["sy"]) >= F.col("_target"))
+    pick = F.coalesce(F.get(fit, F.lit(0)), F.element_at("_ladder", -1))
+    return with_ladder.withColumn("_l", pick).select(*keys, "x0", "y0", "x1", "y1", "_l.level", F.col("_l.sx").alias("scale_x"), F.col("_l.sy").alias("scale_y"))
 
 
 def crop(bbox: DataFrame, width: int, height: int) -> DataFrame:
@@ -440,7 +444,6 @@ def pixel_quality(pixels: DataFrame, keys: Sequence[str] = ("patch_id",)) -> Dat
 
 def stretch_to_byte(pixels: DataFrame, value: str, keys: Sequence[str] = ("patch_id",)) -> DataFrame:
     """Values stretched between their 1st and 99th percentile to 0..255 per patch."""
-    from .ranking import exact_quantiles
     q = exact_quantiles(pixels, keys, value, {"_lo": 0.01, "_hi": 0.99})
     hi = F.when(F.col("_hi") <= F.col("_lo"), F.col("_lo") + 1.0).otherwise(F.col("_hi"))
     part = F.greatest(F.least((F.col(value) - F.col("_lo")) / (hi - F.col("_lo")), F.lit(1.0)), F.lit(0.0))

@@ -123,7 +123,10 @@ CONTOURS = f"""contours AS (SELECT event_id AS contour_id,
 
 def bundles(spark, sf) -> DataFrame:
     """Evidence bundles: status by value range, source by event type."""
-    e = table(spark, sf, "events")
+    return bundle_columns(table(spark, sf, "events"))
+
+
+def bundle_columns(e: DataFrame) -> DataFrame:
     v = F.col("value")
     return e.select(
         F.concat(F.lit("ev."), F.col("event_id").cast("string")).alias("evidence_id"),

@@ -286,12 +286,12 @@ PIXELS = f"""{BINNED(90, 70)}, pixels AS (SELECT ix AS px, iy AS py, CAST(count(
 
 @plan("masked_pixels", f"""WITH {PIXELS}, p(polygon_id, x0, y0, x1, y1) AS (VALUES (1, 3, 4, 20, 30), (2, 10, 10, 60, 66))
   SELECT polygon_id, px, py, CASE WHEN inside THEN r ELSE 0 END AS r, CASE WHEN inside THEN g ELSE 0 END AS g, CASE WHEN inside THEN b ELSE 0 END AS b, inside FROM (
-   SELECT *, px + 0.5 + py + 0.5 < x0 + y0 + (x1 - x0) + 0.25 AS inside FROM (SELECT * FROM p, pixels WHERE px >= x0 AND px < x1 AND py >= y0 AND py < y1))""")
+   SELECT *, px + 0.5 + py + 0.5 < x0 + y0 + (x1 - x0) - 0.25 AS inside FROM (SELECT * FROM p, pixels WHERE px >= x0 AND px < x1 AND py >= y0 AND py < y1))""")
 def masked_pixels(spark, sf):
     # right triangles: the corner and equal legs; off-centre by a quarter so no pixel centre is on the edge
     rows = []
     for pid, x0, y0, x1, y1 in ((1, 3, 4, 20, 30), (2, 10, 10, 60, 66)):
-        leg = x1 - x0 + 0.25
+        leg = x1 - x0 - 0.25
         rows += [(pid, 0, 0, 0, float(x0), float(y0)), (pid, 0, 0, 1, float(x0 + leg), float(y0)), (pid, 0, 0, 2, float(x0), float(y0 + leg))]
         rows += [(pid, 1, 0, 0, float(x1) - 0.2, float(y1) - 0.2), (pid, 1, 0, 1, float(x1) - 0.1, float(y1) - 0.2), (pid, 1, 0, 2, float(x1) - 0.2, float(y1) - 0.1)]
     v = spark.createDataFrame(rows, "polygon_id int, part int, ring int, seq int, x double, y double")

@@ -52,9 +52,13 @@ def evidence_split(spark, sf):
 
 
 def corrections(spark, sf):
-    """Corrections stream: one record per event."""
+    """Corrections: one record per event."""
+    return correction_columns(table(spark, sf, "events"))
+
+
+def correction_columns(e):
     kind = F.when(F.col("event_type") == "signup", "flag_for_finetuning").when(F.col("event_type") == "error", "reject").otherwise("label_override")
-    return table(spark, sf, "events").select(F.col("event_id").cast("string").alias("correction_id"), F.col("user_id").cast("string").alias("case_id"),
+    return e.select(F.col("event_id").cast("string").alias("correction_id"), F.col("user_id").cast("string").alias("case_id"),
                                              kind.alias("correction_type"), "ts")
 
 
