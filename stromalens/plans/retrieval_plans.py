@@ -67,14 +67,14 @@ def _docs(spark, sf):
 _LAST = "CASE WHEN regexp_matches(w, '(?s){0}') THEN length(regexp_extract(w, '(?s)^(.*){0}', 1)) ELSE -1 END"
 CHUNKS = f"""docs AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lang, source, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
  walk AS (
-  SELECT document_id, t, 0 AS at, 0 AS stop, 0 AS step FROM docs WHERE t <> ''
+  SELECT document_id, t, 0 AS pos, 0 AS stop, 0 AS step FROM docs WHERE t <> ''
   UNION ALL
-  SELECT document_id, t, at2, CASE WHEN at2 + 1200 < length(t) AND cut > 600 THEN at2 + cut + 1 ELSE least(length(t), at2 + 1200) END, step + 1 FROM (
+  SELECT document_id, t, pos2, CASE WHEN pos2 + 1200 < length(t) AND cut > 600 THEN pos2 + cut + 1 ELSE least(length(t), pos2 + 1200) END, step + 1 FROM (
    SELECT *, greatest({_LAST.format(chr(92) + 'n' + chr(92) + 'n')}, {_LAST.format(chr(92) + '. ')}, {_LAST.format(' ')}) AS cut FROM (
-    SELECT *, substring(t, at2 + 1, 1200) AS w FROM (SELECT document_id, t, step, CASE WHEN step = 0 THEN 0 ELSE greatest(at + 1, stop - 120) END AS at2, stop FROM walk WHERE step = 0 OR stop < length(t)))) ),
- pieces AS (SELECT document_id, at, stop, regexp_replace(substring(t, CAST(at + 1 AS BIGINT), CAST(stop - at AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS text FROM walk WHERE step > 0),
- chunks AS (SELECT document_id, CAST(at AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, text,
-   'chunk-' || lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY at) AS VARCHAR), 4, '0') AS chunk_id FROM pieces WHERE text <> '')"""
+    SELECT *, substring(t, pos2 + 1, 1200) AS w FROM (SELECT document_id, t, step, CASE WHEN step = 0 THEN 0 ELSE greatest(pos + 1, stop - 120) END AS pos2, stop FROM walk WHERE step = 0 OR stop < length(t)))) ),
+ pieces AS (SELECT document_id, pos, stop, regexp_replace(substring(t, CAST(pos + 1 AS BIGINT), CAST(stop - pos AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS text FROM walk WHERE step > 0),
+ chunks AS (SELECT document_id, CAST(pos AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, text,
+   'chunk-' || lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY pos) AS VARCHAR), 4, '0') AS chunk_id FROM pieces WHERE text <> '')"""
 
 
 @plan("chunk_text", f"WITH RECURSIVE {CHUNKS} SELECT document_id, chunk_id, document_id || ':' || chunk_id AS point_id, start, stop, md5(text) AS digest FROM chunks")

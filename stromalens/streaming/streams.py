@@ -8,13 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.ranking import top_per_group
 
 
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with a watermark when they stream; event time may be stored without a zone."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", delay) if rows.isStreaming else rows
+
+
 def finetuning_counts(corrections: DataFrame, threshold: int = 50, delay: str = "1 day", window: str | None = None) -> DataFrame:
     """Flags per case on a stream (or a table), with ``triggered`` once the threshold is met.
 
     Without ``window`` the state is one counter per case and lives on; with it the
     counters of windows past the watermark are dropped.
     """
-    rows = corrections.withWatermark("ts", delay) if corrections.isStreaming else corrections
+    rows = _timed(corrections, delay)
     keys = [F.col("case_id")] if window is None else [F.window("ts", window), F.col("case_id")]
     n = F.count_if(F.col("correction_type") == "flag_for_finetuning")
     return rows.groupBy(*keys).agg(n.alias("flagged"), (n >= threshold).alias("triggered"))
@@ -22,7 +28,7 @@ def finetuning_counts(corrections: DataFrame, threshold: int = 50, delay: str =
 
 def qc_windows(bundles: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Status counts per tumbling window and source; the same on a table and on a stream."""
-    rows = bundles.withWatermark("ts", delay) if bundles.isStreaming else bundles
+    rows = _timed(bundles, delay)
     s = F.col("qc_status")
     out = rows.groupBy(F.window("ts", window).alias("w"), "source").agg(
         F.count("*").alias("total_bundles"), F.count_if(s == "ok").alias("passed"), F.count_if(s == "warning").alias("warned"), F.count_if(s == "fail").alias("failed"))
