@@ -68,16 +68,13 @@ def term_buckets(text, dims: int) -> Column:
     return F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("int"))
 
 
-def embed_terms(df: DataFrame, key: str, text: str = "text", dims: int = 64) -> DataFrame:
+def embed_terms(df: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
     """Default embedding: term counts hashed into ``dims`` buckets, as ``vector``.
 
-    Counted per (key, bucket) with partial sums; a row then gathers at most ``dims`` counts.
+    Array functions on the row, so nothing is shuffled.
     """
-    counts = (df.select(key, F.explode(term_buckets(text, dims)).alias("b")).groupBy(key, "b").agg(F.count("*").cast("double").alias("n")))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("_m"))
-    zero = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at(F.coalesce("_m", zero), i), F.lit(0.0)))
-    return df.join(maps, key, "left").withColumn("vector", vec).drop("_m")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("_b", lambda b: b == i)).cast("double"))
+    return df.withColumn("_b", term_buckets(text, dims)).withColumn("vector", counts).drop("_b")
 
 
 def embed_with(df: DataFrame, model: Callable[[Column], Column], text: str = "text") -> DataFrame:

@@ -53,8 +53,8 @@ def symmetric_distance(matrix: DataFrame) -> DataFrame:
 def radius_neighbors(cells: DataFrame, r: float) -> DataFrame:
     """Pairs of different cells within ``r``: ``(case_id, cell_id, near_cell_id, d)``, each pair both ways."""
     p = tiles.pack(with_case(cells).select(CASE, "cell_id", "x", "y"), [CASE])
-    pairs = tiles.radius_pairs(p, p, [CASE], r).filter("a_cell_id <> b_cell_id")
-    return pairs.select(CASE, F.col("a_cell_id").alias("cell_id"), F.col("b_cell_id").alias("near_cell_id"), F.sqrt("d2").alias("d"))
+    pairs = tiles.radius_pairs(p, p, [CASE], r, [CASE, "cell_id"], ["cell_id"])
+    return pairs.filter("cell_id <> b_cell_id").select(CASE, "cell_id", F.col("b_cell_id").alias("near_cell_id"), "d")
 
 
 def neighborhood_sums(cells: DataFrame, values: Sequence[str], radii: Sequence[float], group: str | None = None) -> DataFrame:
@@ -64,9 +64,8 @@ def neighborhood_sums(cells: DataFrame, values: Sequence[str], radii: Sequence[f
     """
     by = [CASE] + ([group] if group else [])
     at = with_case(cells).groupBy(*by, "x", "y").agg(*[F.sum(v).alias(v) for v in values])
-    places = at.select(CASE, "x", "y").distinct() if group else at.select(CASE, "x", "y")
-    a = tiles.pack(places, [CASE])
     b = tiles.pack(at, by, values)
+    a = tiles.pack(at.select(CASE, "x", "y").distinct(), [CASE]) if group else b
     return tiles.radius_sums(a, b, [CASE], [CASE, "x", "y"], radii)
 
 
@@ -135,7 +134,7 @@ def orientation_summary(cells: DataFrame, angle: str = "angle", group: str = "gr
     if local_k is None:
         return out
     p = tiles.pack(with_case(cells).select(CASE, "cell_id", "x", "y", F.col(angle).alias("angle"), F.col(group).alias("group")), [CASE])
-    near = tiles.k_nearest(p, p, [CASE], "cell_id", "cell_id", local_k, ["angle"])
+    near = tiles.k_nearest(p, [CASE], "cell_id", local_k, ["angle"])
     lc, ls = axial_mean("angle")
     local = near.groupBy(CASE, "cell_id").agg(F.round(F.hypot(lc, ls), 9).alias("r"))
     local = local.join(with_case(cells).select(CASE, "cell_id", F.col(group).alias("group")), [CASE, "cell_id"])

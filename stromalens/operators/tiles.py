@@ -6,10 +6,10 @@ pairs. Here points are sorted along a Z-order curve and cut into blocks of at mo
 blocks rather than a bigger one. Every ``FAN`` blocks form a node of the next level.
 Searches pair blocks of one side with nodes of the other from the top down, keep
 the pairs whose bounding boxes can still matter, and compare points only inside
-the remaining block pairs. Each step is an equi-join on the node key.
+the remaining block pairs. Each step is an equi-join on numeric node keys.
 
-Points at the same place are one point for the search (``weight`` counts them), so
-piles of equal coordinates never meet each other pair by pair.
+Callers merge points at the same place first, so piles of equal coordinates never
+meet each other pair by pair.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ BLOCK = 8
 FAN = 16
 SLACK = 1e-9  # bounding-box tests only prune when clear of rounding
 BOX = ("x0", "x1", "y0", "y1")
+_A = ("ablock", "ax0", "ax1", "ay0", "ay1")
 
 
 def _spread16(c: Column) -> Column:
@@ -49,100 +50,116 @@ def z_order(points: DataFrame) -> Column:
 
 @dataclass
 class Packed:
-    """Points with a ``block`` number, the blocks with boxes and sums, and the tree depth."""
+    """``points(g, pid, leaf, x, y, …)``, ``leaves(g, node, leaf, box, n, sums)``, ``groups(by…, g)``.
+
+    ``g`` numbers the groups, ``pid`` the points and ``leaf`` the blocks, each unique.
+    """
 
     points: DataFrame
-    blocks: DataFrame
+    leaves: DataFrame
+    groups: DataFrame
     by: tuple[str, ...]
     sums: tuple[str, ...]
     depth: int
 
     def level(self, n: int) -> DataFrame:
-        """Nodes ``FAN**n`` blocks wide: ``by…, node, x0, x1, y0, y1, n, sums…``."""
+        """Nodes ``FAN**n`` blocks wide: ``g, node, leaf, box, n, sums…`` (``leaf`` names a block on level 0 only)."""
         if n == 0:
-            return self.blocks.withColumnRenamed("block", "node")
-        node = F.floor(F.col("block") / FAN**n).cast("bigint")
-        return self.blocks.groupBy(*self.by, node.alias("node")).agg(
-            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+            return self.leaves
+        node = F.floor(F.col("node") / FAN**n).cast("bigint")
+        return self.leaves.groupBy("g", node.alias("node")).agg(
+            F.min("leaf").alias("leaf"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
             F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in self.sums])
 
 
 def pack(points: DataFrame, by: Sequence[str], sums: Sequence[str] = ()) -> Packed:
     """Cut ``points(by…, x, y, …)`` into blocks; blocks never mix groups of ``by``."""
     keyed = points.withColumn("_z", z_order(points))
-    ranked = dense_row_number(keyed, [*by, "_z", "x", "y"], "_rn")
-    packed = ranked.withColumn("block", F.floor((F.col("_rn") - 1) / BLOCK).cast("bigint")).drop("_rn", "_z")
-    blocks = materialize(packed.groupBy(*by, "block").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-        F.count("*").alias("n"), *[F.sum(s).alias(s) for s in sums]))
-    last = blocks.agg(F.max("block")).first()[0] or 0
-    depth = 0
-    while FAN**depth <= last:
+    ranked = dense_row_number(keyed, [*by, "_z", "x", "y"], "pid").drop("_z")
+    groups = materialize(ranked.groupBy(*by).agg(F.min("pid").alias("g"), F.max("pid").alias("last")))
+    # a block starts at a multiple of BLOCK or where its group starts
+    node = F.floor((F.col("pid") - 1) / BLOCK).cast("bigint")
+    cut = (ranked.join(groups.drop("last"), list(by)).withColumn("node", node)
+           .withColumn("leaf", F.greatest(F.col("node") * BLOCK + 1, F.col("g"))))
+    leaves = materialize(cut.groupBy("g", "node", "leaf").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"),
+        *[F.sum(s).alias(s) for s in sums]))
+    total = groups.agg(F.max("last")).first()[0] or 0
+    depth = 1
+    while FAN**depth * BLOCK < total:
         depth += 1
-    return Packed(packed, blocks, tuple(by), tuple(sums), depth)
-
-
-def _gap(lo1, hi1, lo2, hi2) -> Column:
-    return F.greatest(F.col(lo2) - F.col(hi1), F.col(lo1) - F.col(hi2), F.lit(0.0))
-
+    return Packed(cut.drop("node"), leaves, groups.drop("last"), tuple(by), tuple(sums), depth)
 
-def _reach(lo1, hi1, lo2, hi2) -> Column:
-    return F.greatest(F.abs(F.col(hi2) - F.col(lo1)), F.abs(F.col(hi1) - F.col(lo2)))
 
+def _box_pair(frame: DataFrame) -> DataFrame:
+    """Add squared smallest and largest distance between the searching box and the node box."""
+    def gap(lo, hi, n0, n1):
+        return F.greatest(F.col(n0) - F.col(hi), F.col(lo) - F.col(n1), F.lit(0.0))
 
-def _squared(f) -> Column:
-    dx, dy = f("ax0", "ax1", "x0", "x1"), f("ay0", "ay1", "y0", "y1")
-    return dx * dx + dy * dy
+    def reach(lo, hi, n0, n1):
+        return F.greatest(F.col(n1) - F.col(lo), F.col(hi) - F.col(n0))
+    dx, dy = gap("ax0", "ax1", "x0", "x1"), gap("ay0", "ay1", "y0", "y1")
+    fx, fy = reach("ax0", "ax1", "x0", "x1"), reach("ay0", "ay1", "y0", "y1")
+    return frame.withColumn("near2", dx * dx + dy * dy).withColumn("far2", fx * fx + fy * fy)
 
 
-def _searchers(a: Packed, on: Sequence[str]) -> DataFrame:
-    return a.blocks.select(*on, F.col("block").alias("ablock"), *[F.col(c).alias(f"a{c}") for c in BOX])
-
-
-_SEARCHER = ("ablock", "ax0", "ax1", "ay0", "ay1")
+def _roots(a: Packed, b: Packed, on: Sequence[str]) -> DataFrame:
+    """Each searching block with the top node of every group that shares its ``on`` key."""
+    reach = a.groups.select(*on, F.col("g").alias("ag")).join(b.groups.select(*on, "g"), list(on)).select("ag", "g")
+    boxes = a.leaves.select(F.col("g").alias("ag"), F.col("leaf").alias("ablock"), *[F.col(c).alias(f"a{c}") for c in BOX])
+    return boxes.join(reach, "ag").select("g", F.lit(0).cast("bigint").alias("node"), *_A)
 
 
 def _descend(frontier: DataFrame, b: Packed, level: int) -> DataFrame:
     """Replace frontier nodes by their children on ``level`` with pair distances."""
     children = b.level(level).withColumn("parent", F.floor(F.col("node") / FAN).cast("bigint"))
-    up = frontier.withColumnRenamed("node", "parent")
-    return (up.join(children, [*b.by, "parent"]).drop("parent")
-            .withColumn("near2", _squared(_gap)).withColumn("far2", _squared(_reach)))
-
-
-def _roots(searchers: DataFrame, b: Packed, on: Sequence[str]) -> DataFrame:
-    """Pair each searching block with the top node of every group sharing its ``on`` key."""
-    top = b.level(b.depth).select(*b.by, "node")
-    return searchers.join(top, list(on))
+    up = frontier.select("g", F.col("node").alias("parent"), *_A, *[c for c in ("ri", "r2") if c in frontier.columns])
+    return _box_pair(up.join(children, ["g", "parent"]).drop("parent"))
 
 
 def nearest_blocks(a: Packed, b: Packed, on: Sequence[str], k: int = 1) -> DataFrame:
-    """Block pairs ``(by…, ablock, bblock)`` that hold the ``k`` nearest ``b`` points of any ``a`` point."""
-    frontier = _roots(_searchers(a, on), b, on)
-    one = Window.partitionBy(*b.by, "ablock")
+    """Block pairs ``(g, ablock, bblock)`` that hold the ``k`` nearest ``b`` points of any ``a`` point."""
+    frontier = _roots(a, b, on)
+    one = Window.partitionBy("ablock", "g")
     for level in range(b.depth - 1, -1, -1):
         f = _descend(frontier, b, level)
         if k == 1:
             limit = F.min("far2").over(one)
         else:
-            # the first boxes, nearest far side first, that hold k points bound the search
+            # the boxes with the nearest far side that together hold k points bound the search
             f = f.withColumn("_have", F.sum("n").over(one.orderBy("far2").rangeBetween(Window.unboundedPreceding, 0)))
             limit = F.coalesce(F.min(F.when(F.col("_have") >= k, F.col("far2"))).over(one), F.lit(float("inf")))
         f = f.withColumn("_limit", limit).filter(F.col("near2") <= F.col("_limit") * (1 + SLACK))
-        frontier = f.select(*b.by, *_SEARCHER, "node")
-    return frontier.select(*b.by, "ablock", F.col("node").alias("bblock"))
+        frontier = f.select("g", "node", *_A, "leaf")
+    return frontier.select("g", "ablock", F.col("leaf").alias("bblock"))
+
 
+def _a_points(a: Packed) -> DataFrame:
+    return a.points.select(F.col("leaf").alias("ablock"), F.col("pid").alias("a_pid"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
 
-def _points(p: Packed, keys: Sequence[str], side: str) -> DataFrame:
-    """Points renamed with a side prefix, their block and keys kept for joining."""
-    rest = [c for c in p.points.columns if c not in keys and c != "block"]
-    return p.points.select(*keys, F.col("block").alias(f"{side}block"), *[F.col(c).alias(f"{side}_{c}") for c in rest])
 
+def _b_points(b: Packed, carry: Sequence[str]) -> DataFrame:
+    return b.points.select(F.col("leaf").alias("bblock"), F.col("pid").alias("b_pid"), F.col("x").alias("b_x"), F.col("y").alias("b_y"),
+                           *[F.col(c).alias(f"b_{c}") for c in carry])
 
-def _point_pairs(pairs: DataFrame, a: Packed, b: Packed, on: Sequence[str]) -> DataFrame:
-    out = pairs.join(_points(a, on, "a"), [*on, "ablock"]).join(_points(b, b.by, "b"), [*b.by, "bblock"])
+
+def _with_distance(pairs: DataFrame) -> DataFrame:
     dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    return out.withColumn("d2", dx * dx + dy * dy)
+    return pairs.withColumn("d2", dx * dx + dy * dy)
+
+
+def _point_pairs(pairs: DataFrame, a: Packed, b: Packed, carry: Sequence[str] = ()) -> DataFrame:
+    return _with_distance(pairs.join(_a_points(a), "ablock").join(_b_points(b, carry), "bblock"))
+
+
+def _name(rows: DataFrame, a: Packed, b: Packed, on: Sequence[str], a_id: Sequence[str]) -> DataFrame:
+    """Point numbers back to the callers' columns, group numbers to the groups' keys."""
+    who = a.points.select(F.col("pid").alias("a_pid"), *a_id)
+    groups = [c for c in b.by if c not in on]
+    clash = set(groups) & set(a_id)
+    if clash:
+        raise ValueError(f"rename {clash}: used by both sides")
+    return rows.join(b.groups.select("g", *groups), "g").join(who, "a_pid").drop("g", "a_pid")
 
 
 def nearest(a: Packed, b: Packed, on: Sequence[str], a_id: Sequence[str], b_carry: Sequence[str] = ()) -> DataFrame:
@@ -150,61 +167,67 @@ def nearest(a: Packed, b: Packed, on: Sequence[str], a_id: Sequence[str], b_carr
 
     Ties go to the smallest carried values.
     """
-    pairs = _point_pairs(nearest_blocks(a, b, on), a, b, on)
-    keys = [F.col(f"a_{c}").alias(c) if c not in on else F.col(c) for c in a_id]
-    groups = [c for c in b.by if c not in a_id]
-    clash = {c for c in groups} & {c for c in a_id if c not in on}
-    if clash:
-        raise ValueError(f"rename {clash}: used by both sides")
+    pairs = _point_pairs(nearest_blocks(a, b, on), a, b, b_carry)
     if not b_carry:
-        return pairs.groupBy(*keys, *groups).agg(F.min("d2").alias("d")).withColumn("d", F.sqrt("d"))
-    best = F.min(F.struct("d2", *[F.col(f"b_{c}") for c in b_carry])).alias("_best")
-    out = pairs.groupBy(*keys, *groups).agg(best)
-    return out.select(*a_id, *groups, F.sqrt("_best.d2").alias("d"), *[F.col(f"_best.b_{c}").alias(c) for c in b_carry])
+        best = pairs.groupBy("a_pid", "g").agg(F.min("d2").alias("d"))
+    else:
+        best = pairs.groupBy("a_pid", "g").agg(F.min(F.struct("d2", *[F.col(f"b_{c}") for c in b_carry])).alias("_b"))
+        best = best.select("a_pid", "g", F.col("_b.d2").alias("d"), *[F.col(f"_b.b_{c}").alias(c) for c in b_carry])
+    return _name(best.withColumn("d", F.sqrt("d")), a, b, on, a_id)
 
 
-def k_nearest(a: Packed, b: Packed, on: Sequence[str], a_id: str, b_id: str, k: int, carry: Sequence[str] = ()) -> DataFrame:
-    """``(a_id, b_id, rank, d, carry…)`` for the ``k`` nearest ``b`` points of each ``a`` point, itself left out."""
-    pairs = _point_pairs(nearest_blocks(a, b, on, k + 1), a, b, on).filter(F.col(f"a_{a_id}") != F.col(f"b_{b_id}"))
-    w = Window.partitionBy(*on, f"a_{a_id}").orderBy("d2", f"b_{b_id}")
-    return (pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(*on, F.col(f"a_{a_id}").alias(a_id), F.col(f"b_{b_id}").alias(f"near_{b_id}"), "rank", F.sqrt("d2").alias("d"),
-                    *[F.col(f"b_{c}").alias(c) for c in carry]))
+def k_nearest(p: Packed, on: Sequence[str], id_: str, k: int, carry: Sequence[str] = ()) -> DataFrame:
+    """``(on…, id, near_id, rank, d, carry…)`` for the ``k`` nearest other points of each point of ``p``."""
+    pairs = _point_pairs(nearest_blocks(p, p, on, k + 1), p, p, [id_, *carry]).filter("a_pid <> b_pid")
+    w = Window.partitionBy("a_pid").orderBy("d2", f"b_{id_}")
+    best = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = best.select("a_pid", "g", F.col(f"b_{id_}").alias(f"near_{id_}"), "rank", F.sqrt("d2").alias("d"), *[F.col(f"b_{c}").alias(c) for c in carry])
+    return _name(best, p, p, on, [*on, id_])
 
 
-def radius_pairs(a: Packed, b: Packed, on: Sequence[str], r: float) -> DataFrame:
-    """Point pairs no further apart than ``r``, columns prefixed ``a_`` and ``b_``. The output is the pairs."""
-    frontier = _roots(_searchers(a, on), b, on)
+def radius_pairs(a: Packed, b: Packed, on: Sequence[str], r: float, a_id: Sequence[str], b_carry: Sequence[str]) -> DataFrame:
+    """``(a_id…, by of b…, b_carry…, d)`` for points no further apart than ``r``. The output is the pairs."""
+    frontier = _roots(a, b, on)
     for level in range(b.depth - 1, -1, -1):
-        f = _descend(frontier, b, level).filter(F.col("near2") <= r * r * (1 + SLACK))
-        frontier = f.select(*b.by, *_SEARCHER, "node")
-    pairs = frontier.select(*b.by, "ablock", F.col("node").alias("bblock"))
-    return _point_pairs(pairs, a, b, on).filter(F.col("d2") <= r * r)
+        frontier = _descend(frontier, b, level).filter(F.col("near2") <= r * r * (1 + SLACK)).select("g", "node", *_A, "leaf")
+    pairs = _point_pairs(frontier.select("g", "ablock", F.col("leaf").alias("bblock")), a, b, b_carry).filter(F.col("d2") <= r * r)
+    pairs = pairs.select("a_pid", "g", *[F.col(f"b_{c}") for c in b_carry], F.sqrt("d2").alias("d"))
+    return _name(pairs, a, b, on, a_id)
 
 
 def radius_sums(a: Packed, b: Packed, on: Sequence[str], a_id: Sequence[str], radii: Sequence[float]) -> DataFrame:
     """Sums of ``b.sums`` over the ``b`` points within each radius of each ``a`` point.
 
-    A node lying wholly inside the circle of a whole searching block adds its stored
-    sums at once; only blocks on the rim are compared point by point, so the work
-    grows with the rim and not with the number of pairs.
+    A node wholly inside the circles of a whole searching block adds its stored sums at
+    once, then a block wholly inside the circle of one point does; only blocks on the
+    rim of a point's circle are compared point by point. The work grows with the rim and
+    not with the number of pairs.
     """
-    by, sums = list(b.by), list(b.sums)
-    frontier = (_roots(_searchers(a, on), b, on)
-                .withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))))
-    whole = None
+    sums = list(b.sums)
+    numbered = list(enumerate(float(r) for r in radii))
+    table = F.array(*[F.struct(F.lit(i).alias("ri"), F.lit(r * r).alias("r2")) for i, r in numbered])
+    frontier = _roots(a, b, on).select("*", F.explode(table).alias("_r")).select("g", "node", *_A, "_r.ri", "_r.r2")
+    parts = []
     for level in range(b.depth - 1, -1, -1):
-        r2 = F.col("radius") * F.col("radius")
-        f = _descend(frontier, b, level).filter(F.col("near2") <= r2 * (1 + SLACK))
-        inside = F.col("far2") <= r2 * (1 - SLACK)
-        done = f.filter(inside).select(*by, "radius", "ablock", *sums)
-        whole = done if whole is None else whole.unionByName(done)
-        frontier = f.filter(~inside).select(*by, *_SEARCHER, "node", "radius")
-    groups = [c for c in by if c not in on]
-    a_keys = [F.col(c) if c in on else F.col(f"a_{c}").alias(c) for c in a_id]
-    rim = _point_pairs(frontier.select(*by, "radius", "ablock", F.col("node").alias("bblock")), a, b, on)
-    rim = rim.filter(F.col("d2") <= F.col("radius") * F.col("radius")).select(*a_keys, *groups, "radius", *[F.col(f"b_{s}").alias(s) for s in sums])
-    core = (whole.groupBy(*by, "radius", "ablock").agg(*[F.sum(s).alias(s) for s in sums])
-            .join(_points(a, on, "a"), [*on, "ablock"]).select(*a_keys, *groups, "radius", *sums)) if whole is not None else None
-    rows = rim if core is None else rim.unionByName(core)
-    return rows.groupBy(*a_id, *groups, "radius").agg(*[F.sum(s).alias(s) for s in sums])
+        f = _descend(frontier, b, level).filter(F.col("near2") <= F.col("r2") * (1 + SLACK))
+        if level == 0:
+            f = materialize(f)  # the largest step, read by both branches below
+        inside = F.col("far2") <= F.col("r2") * (1 - SLACK)
+        parts.append(f.filter(inside).select("g", "ri", "ablock", *sums))
+        frontier = f.filter(~inside).select("g", "node", *_A, "ri", "r2", "leaf", *BOX, *sums)
+    core = parts[0]
+    for p in parts[1:]:
+        core = core.unionByName(p)
+    spots = _a_points(a)
+    core = (core.groupBy("ablock", "g", "ri").agg(*[F.sum(s).alias(s) for s in sums]).join(spots, "ablock").select("a_pid", "g", "ri", *sums))
+    # the searching box shrinks to the point; a block inside its circle needs no partner
+    # below and gets a key of its own that matches nothing and spreads evenly
+    near = frontier.drop("ax0", "ax1", "ay0", "ay1").join(spots, "ablock")
+    near = _box_pair(near.select("*", F.col("a_x").alias("ax0"), F.col("a_x").alias("ax1"), F.col("a_y").alias("ay0"), F.col("a_y").alias("ay1")))
+    near = near.filter(F.col("near2") <= F.col("r2") * (1 + SLACK)).withColumn("whole", F.col("far2") <= F.col("r2") * (1 - SLACK))
+    near = near.select("a_pid", "g", "ri", "r2", "a_x", "a_y", "whole", F.when(~F.col("whole"), F.col("leaf")).otherwise(-F.col("a_pid")).alias("bblock"), *sums)
+    rim = _with_distance(near.join(_b_points(b, sums), "bblock", "left")).filter("whole OR d2 <= r2")
+    rim = rim.select("a_pid", "g", "ri", *[F.when(F.col("whole"), F.col(s)).otherwise(F.col(f"b_{s}")).alias(s) for s in sums])
+    rows = core.unionByName(rim).groupBy("a_pid", "g", "ri").agg(*[F.sum(s).alias(s) for s in sums])
+    radius = F.element_at(F.array(*[F.lit(r) for _, r in numbered]), F.col("ri") + 1)
+    return _name(rows.withColumn("radius", radius).drop("ri"), a, b, on, a_id)

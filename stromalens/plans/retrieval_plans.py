@@ -96,7 +96,7 @@ def EMBED(source, key, text):
 
 @plan("embed_terms", f"""WITH e AS ({EMBED('benchmark', 'item_id', 'text')}) SELECT item_id, b AS dim, CAST(n AS DOUBLE) AS value FROM e""")
 def embed_terms(spark, sf):
-    d = V.embed_terms(table(spark, sf, "benchmark"), "item_id")
+    d = V.embed_terms(table(spark, sf, "benchmark"))
     return d.select("item_id", F.posexplode("vector").alias("dim", "value")).filter("value > 0")
 
 
@@ -128,12 +128,12 @@ def vector_top_k(spark, sf):
 
 def _index(spark, sf):
     chunks = materialize(V.chunk_documents(_docs(spark, sf)))
-    return materialize(V.embed_terms(chunks, "point_id"))
+    return materialize(V.embed_terms(chunks))
 
 
 def _questions(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return V.embed_terms(b, "query_id", "question")
+    return V.embed_terms(b, "question")
 
 
 RETRIEVED = f"""{CHUNKS}, p AS (SELECT document_id || ':' || chunk_id AS point_id, * FROM chunks), ce AS ({EMBED('p', 'point_id', 'text')}), qe AS ({EMBED('benchmark', 'item_id', 'text')}),

@@ -63,7 +63,7 @@ def test_k_nearest(spark):
     c = P.with_case(spark.createDataFrame(rows, "cell_id int, x double, y double, cluster string").drop("cluster"))
     p = tiles.pack(c, ["case_id"])
     got = {}
-    for r in tiles.k_nearest(p, p, ["case_id"], "cell_id", "cell_id", 4).collect():
+    for r in tiles.k_nearest(p, ["case_id"], "cell_id", 4).collect():
         got.setdefault(r.cell_id, {})[r.rank] = r.d
     for a in rows:
         want = sorted(dist(a, b) for b in rows if b[0] != a[0])[:4]
