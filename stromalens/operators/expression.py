@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import materialize
 from .align import gene_set_join
 from . import tiles
 from .ranking import average_rank, exact_quantiles
@@ -130,15 +131,17 @@ def distance_expression_coupling(expression: DataFrame, distances: DataFrame) ->
     Zeros all share one rank, so their part of every sum is known from the totals
     and only the stored counts are ranked: nothing is filled in.
     """
-    ranked = average_rank(distances, [], "d", "rd")
+    # both tables are read by several branches: ranks, totals and joins
+    ranked = materialize(average_rank(materialize(distances.select("cell_id", "d")), [], "d", "rd"))
     whole = ranked.agg(F.count("*").cast("double").alias("n"), F.sum("rd").alias("sum_rd"),
                        F.sum(F.col("rd") * F.col("rd")).alias("sum_rd2"))
     counts = expression.groupBy("gene", "cell_id").agg(F.sum("n").alias("v")).filter("v <> 0")
-    pairs = average_rank(counts.join(ranked.select("cell_id", "rd"), "cell_id"), ["gene"], "v", "rv")
+    pairs = average_rank(materialize(counts.join(ranked.select("cell_id", "rd"), "cell_id")), ["gene"], "v", "rv")
     g = pairs.groupBy("gene").agg(F.count("*").alias("n_nonzero"), F.sum("v").alias("sum_v"), F.sum("rd").alias("nz_rd"),
                                   F.sum("rv").alias("nz_rv"), F.sum(F.col("rv") * F.col("rv")).alias("nz_rv2"),
                                   F.sum(F.col("rd") * F.col("rv")).alias("nz_rdrv"))
-    n, sum_rd, sum_rd2 = (whole.select(c).scalar() for c in ("n", "sum_rd", "sum_rd2"))
+    total = whole.select(F.struct("n", "sum_rd", "sum_rd2")).scalar()
+    n, sum_rd, sum_rd2 = total["n"], total["sum_rd"], total["sum_rd2"]
     z = n - F.col("n_nonzero")
     zero_rank = (z + 1) / 2
     mean = (n + 1) / 2
@@ -156,7 +159,7 @@ def program_activity(expression: DataFrame, sets: DataFrame, cells: DataFrame, q
     Cells scoring above the program's quantile are kept and searched for as one point
     cloud per program: ``(pathway, celltype, retained_cell_count, d)``.
     """
-    scores = program_scores(expression, sets)
+    scores = materialize(program_scores(expression, sets))
     cuts = exact_quantiles(scores, ["pathway"], "score", {"cut": quantile})
     kept = scores.join(cuts, "pathway").filter("score > cut").select("pathway", "cell_id")
     active = with_case(kept.join(cells.select("cell_id", "x", "y"), "cell_id"))

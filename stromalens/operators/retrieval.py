@@ -73,8 +73,10 @@ def embed_terms(df: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
 
     Array functions on the row, so nothing is shuffled.
     """
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("_b", lambda b: b == i)).cast("double"))
-    return df.withColumn("_b", term_buckets(text, dims)).withColumn("vector", counts).drop("_b")
+    def counts(buckets):
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    # the outer lambda binds the hashed tokens once; a plain column would be hashed again for every bucket
+    return df.withColumn("vector", F.get(F.transform(F.array(term_buckets(text, dims)), counts), F.lit(0)))
 
 
 def embed_with(df: DataFrame, model: Callable[[Column], Column], text: str = "text") -> DataFrame:

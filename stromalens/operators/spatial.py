@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import materialize
 from . import tiles
 from .ranking import exact_quantiles
 
@@ -90,7 +91,7 @@ def axis_strength_by_radius(cells: DataFrame, radii: Sequence[float], angle: str
     rows = own.join(sums, [CASE, "x", "y"]).select(
         "group", "radius", (F.col("_n") - 1).alias("neigh"), F.round(F.hypot(F.col("_c") - F.col("oc"), F.col("_s") - F.col("os")), 9).alias("ANE"))
     # one unpivoted table, so the values are sorted across the cluster once
-    rows = rows.select("group", "radius", F.explode(F.array(
+    rows = materialize(rows).select("group", "radius", F.explode(F.array(
         F.struct(F.lit("coh").alias("m"), F.when(F.col("neigh") > 0, F.col("ANE") / F.col("neigh")).alias("v")),
         F.struct(F.lit("neigh").alias("m"), F.col("neigh").cast("double").alias("v")),
         F.struct(F.lit("ANE").alias("m"), F.when(F.col("neigh") > 0, F.col("ANE")).alias("v")))).alias("e")).select("group", "radius", "e.m", "e.v")
@@ -137,7 +138,7 @@ def orientation_summary(cells: DataFrame, angle: str = "angle", group: str = "gr
     near = tiles.k_nearest(p, [CASE], "cell_id", local_k, ["angle"])
     lc, ls = axial_mean("angle")
     local = near.groupBy(CASE, "cell_id").agg(F.round(F.hypot(lc, ls), 9).alias("r"))
-    local = local.join(with_case(cells).select(CASE, "cell_id", F.col(group).alias("group")), [CASE, "cell_id"])
+    local = materialize(local.join(with_case(cells).select(CASE, "cell_id", F.col(group).alias("group")), [CASE, "cell_id"]))
     q = exact_quantiles(local, ["group"], "r", {"local_rbar_median": 0.5, "local_rbar_q25": 0.25, "local_rbar_q75": 0.75})
     return out.join(q, "group")
 

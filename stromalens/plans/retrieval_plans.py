@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import materialize, shared_dir
+from ..functions.lineage import materialize, shared_dir, spread
 from ..operators import retrieval as V, spatial as P, tree as Y
 from ..streaming import streams
 from .bindings import BUNDLES, bundles, cells, table
@@ -61,7 +61,7 @@ def renumber_by_leaf_order(spark, sf):
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text", "lang", "source")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text", "lang", "source"))
 
 
 _LAST = "CASE WHEN regexp_matches(w, '(?s){0}') THEN length(regexp_extract(w, '(?s)^(.*){0}', 1)) ELSE -1 END"
@@ -127,8 +127,7 @@ def vector_top_k(spark, sf):
 
 
 def _index(spark, sf):
-    chunks = materialize(V.chunk_documents(_docs(spark, sf)))
-    return materialize(V.embed_terms(chunks))
+    return materialize(V.embed_terms(V.chunk_documents(_docs(spark, sf))))
 
 
 def _questions(spark, sf):
