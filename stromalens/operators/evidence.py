@@ -26,6 +26,17 @@ NOTE_STROMA = "RNA reference and H&E morphology both support stromal identity"
 NOTE_INFLAMMATION = "H&E adds inflammatory context that may complement RNA/cell-type evidence"
 NOTE_ARTIFACT = "H&E morphology raises a tissue-quality caveat for this structure"
 NOTE_PATHWAYS = "pathway activity adds molecular program context: "
+# Reason codes of the consensus (kept for equal results)
+REASON_UNAVAILABLE = "pathology_ai_unavailable"
+REASON_LOW = "pathology_ai_low_confidence"
+REASON_SAME = "same_label"
+REASON_NO_OVERLAP = "no_marker_overlap"
+REASON_WEAK_HEURISTIC = "heuristic_low_confidence"
+REASON_MARGIN = "pathology_ai_confidence_margin"
+REASON_RETAINED = "heuristic_retained"
+SOURCE_MODEL = "pathology_ai_api"
+SOURCE_HEURISTIC = "heuristic"
+# Fixed value: report sentence
 NOTE_NONE = "No strong cross-modal concordance or conflict detected"
 
 
@@ -287,14 +298,14 @@ def consensus_annotation(heuristic: DataFrame, model: DataFrame, markers: DataFr
     shared = F.filter(F.array_intersect(names("positive_genes"), names("supporting_markers")), lambda g: g != "")
     overlap = F.col("_has").isNotNull() & (F.size(shared) > 0)
     h, m = F.col("heuristic_confidence"), F.col("model_confidence")
-    reason = (F.when(F.col("_has").isNull(), "pathology_ai_unavailable").when(m < min_model_confidence, "pathology_ai_low_confidence")
-              .when(F.col("model_label_id").eqNullSafe(F.col("heuristic_label_id")), "same_label")
-              .when(F.lit(require_marker_overlap) & ~overlap, "no_marker_overlap").when(h < low_heuristic, "heuristic_low_confidence")
-              .when(m - h >= override_margin, "pathology_ai_confidence_margin").otherwise("heuristic_retained"))
-    accept = F.col("reason").isin("same_label", "heuristic_low_confidence", "pathology_ai_confidence_margin")
+    reason = (F.when(F.col("_has").isNull(), REASON_UNAVAILABLE).when(m < min_model_confidence, REASON_LOW)
+              .when(F.col("model_label_id").eqNullSafe(F.col("heuristic_label_id")), REASON_SAME)
+              .when(F.lit(require_marker_overlap) & ~overlap, REASON_NO_OVERLAP).when(h < low_heuristic, REASON_WEAK_HEURISTIC)
+              .when(m - h >= override_margin, REASON_MARGIN).otherwise(REASON_RETAINED))
+    accept = F.col("reason").isin(REASON_SAME, REASON_WEAK_HEURISTIC, REASON_MARGIN)
     return (rows.withColumn("marker_overlap", overlap).withColumn("reason", reason).withColumn("accepted", accept)
             .withColumn("label_id", F.when(F.col("accepted"), F.col("model_label_id")).otherwise(F.col("heuristic_label_id")))
-            .withColumn("consensus_source", F.when(F.col("accepted"), "pathology_ai_api").otherwise("heuristic"))
+            .withColumn("consensus_source", F.when(F.col("accepted"), SOURCE_MODEL).otherwise(SOURCE_HEURISTIC))
             .select("cluster_id", "label_id", "consensus_source", "reason", "accepted", "marker_overlap", "heuristic_label_id",
                     "heuristic_confidence", "model_label_id", "model_confidence"))
 

@@ -33,12 +33,12 @@ def conflicts(spark, sf):
 
 @plan("coverage_gaps", """WITH expected AS (SELECT DISTINCT u.user_id, e.event_type AS source FROM events u, (SELECT DISTINCT event_type FROM events) e)
   SELECT CAST(user_id AS VARCHAR) AS unit_id, source FROM expected WHERE (user_id, source) NOT IN (SELECT user_id, event_type FROM events WHERE value > 20)
-  UNION ALL SELECT 'case', 'pyXenium.mtm'""")
+  UNION ALL SELECT 'case', 'morphomolecular'""")
 def coverage_gaps(spark, sf):
     b = bundles(spark, sf)
     channels = F.array(*[F.lit(c) for c in ("view", "purchase", "click", "error", "signup")])
     expected = b.select("unit_id").distinct().select("unit_id", F.explode(channels).alias("source"))
-    expected = expected.unionByName(spark.createDataFrame([("case", "pyXenium.mtm")], "unit_id string, source string"))
+    expected = expected.unionByName(spark.createDataFrame([("case", "morphomolecular")], "unit_id string, source string"))
     return align.coverage_gaps(expected, b.filter("value > 20"), ["unit_id", "source"])
 
 
