@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import bpe, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), path)
+    coded = tokens.select("doc_id", "n_tokens", "ids", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"))
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op4_simhash_groups")
+def op4_simhash_groups(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Documents in sequences of 2048 tokens, each ended by id 0."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)

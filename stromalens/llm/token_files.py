@@ -153,7 +153,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a written folder: doc_id, start (ids of all documents before it), n_tokens, and
     ids as little-endian unsigned 32-bit numbers.
 
-    The files' own totals, one row per file, give the ids before each file.
+    The files' own totals give the ids before each file. They are broadcast: 16 bytes per file
+    of many megabytes, 25 MB for 100 TB in files of 64 MB.
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -169,7 +170,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     pa.array(b["doc_ids"], pa.int64()), pa.array(b["before"] + b["start"] + np.cumsum(lengths) - lengths, pa.int64()),
                     pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(before, "part").select("before", "start", "n_ids", "doc_ids", "lengths", "words").mapInArrow(rows, ROW_SCHEMA)
+    return blocks.join(F.broadcast(before), "part").select("before", "start", "n_ids", "doc_ids", "lengths", "words").mapInArrow(rows, ROW_SCHEMA)
 
 
 def scratch_folder(spark: SparkSession) -> str:
