@@ -57,10 +57,6 @@ def _cuts(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << i for i in free[len(free) * k // parts:len(free) * (k + 1) // parts]) for k in range(parts) if len(free) * (k + 1) // parts > len(free) * k // parts]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def _stars(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``group`` as (member, root) pairs."""
     n = len(fp)
@@ -91,11 +87,23 @@ def _stars(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return at_all[linked], root[linked]
 
 
+def _keyed(rows: DataFrame, parts: int) -> DataFrame:
+    """A row (mask, part, fp) for each block of the bits that the row's ``mask`` leaves."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, fp = (np.asarray(batch.column(i), np.int64) for i in range(2))
+            for m in np.unique(mask).tolist():
+                own = fp[mask == m]
+                for finer in _cuts(m % (1 << 64), parts):
+                    signed = finer - (1 << 64) if finer >> 63 else finer
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), signed)), pa.array(own & signed), pa.array(own)], ["mask", "part", "fp"])
+
+    return materialize(rows.select("mask", "fp").mapInArrow(cut, "mask long, part long, fp long"))
+
+
 def links(nodes: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame:
     """Edges (a, b) of distinct fingerprints ``fp`` that connect whatever is within ``radius``."""
-    masks = _cuts(0, radius + 1)
-    keyed = materialize(nodes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"))
-    ready = []
+    keyed, ready = _keyed(nodes.select(F.lit(0).cast("long").alias("mask"), "fp"), radius + 1), []
     while True:
         heavy = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
         heavy = materialize(heavy.select("mask", "part"))
@@ -103,12 +111,7 @@ def links(nodes: DataFrame, radius: int = 3, group: int = GROUP) -> DataFrame:
             ready.append(keyed)
             break
         ready.append(keyed.join(heavy, ["mask", "part"], "left_anti"))
-        cuts = {m: _cuts(m, radius + 1) for m in masks}
-        cuts = {m: c for m, c in cuts.items() if c}
-        finer = F.create_map(*[x for m, c in cuts.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(i)) for i in c]))])
-        split = keyed.join(heavy, ["mask", "part"], "left_semi")
-        keyed = materialize(split.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"))
-        masks = sorted({i for c in cuts.values() for i in c})
+        keyed = _keyed(keyed.join(heavy, ["mask", "part"], "left_semi"), radius + 1)
     rows = ready[0]
     for r in ready[1:]:
         rows = rows.unionByName(r)
