@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash, token_files, topk, urls
+from . import bpe, language, packing, quality, simhash, token_files, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,14 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir))
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Fitted on labelled documents outside the held-out fold."""
+    return language.train(docs.select("doc_id", "text", "lang").where(~language.held_out(F.col("doc_id"))))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language_model(docs)).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
