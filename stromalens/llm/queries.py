@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality, simhash, token_files, topk, urls
+from . import bpe, language, packing, quality, simhash, substrings, token_files, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,8 @@ def language_model(docs: DataFrame) -> language.Model:
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language_model(docs)).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
