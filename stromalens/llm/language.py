@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .shared import Memo, binaries, slices
 
@@ -30,7 +31,6 @@ SAMPLE_DOCS, MAX_LANGUAGES = 2000, 200
 REJECT_BELOW = 0.5
 #: Letters of a word that count; in bytes, any byte of a character outside ASCII may be part of one.
 _RUNS = re.compile(r"[^\W\d_]+")
-SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
 def word_features(word: str) -> list[int]:
@@ -158,21 +158,29 @@ class _Scorer:
         return m.languages[best], float(p[best]), bool(p[best] < REJECT_BELOW)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and rejected of every row of ``docs(doc_id, text)``.
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected; columns of these names are replaced.
 
-    Only the text is read. A null text, or one without a letter, is ``und`` with score 0
+    Only the text is looked at. A null text, or one without a letter, is ``und`` with score 0
     and rejected, and so is every text if nothing was learned. ``score`` is the calibrated
-    probability of the prediction.
+    probability of the prediction. One row per row.
     """
+    carried = docs.drop("lang_pred", "score", "rejected")
+    names = [*carried.columns, "lang_pred", "score", "rejected"]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
             for part in slices(batch, "text"):
                 got = [scorer.predict(t) for t in binaries(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.float64(), pa.bool_())))], names)
+
+    return carried.mapInArrow(rows, StructType([*carried.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, SCHEMA)
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and rejected of every row of ``docs(doc_id, text)``, as ``annotate`` gives them."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

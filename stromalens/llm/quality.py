@@ -90,7 +90,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
           min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with its counts and verdict.
 
-    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
+    Columns: doc_id, key (hash of doc_id and text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
     (under ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated windows),
     score (mean weight of the n-grams, with ``PRIOR_NGRAMS`` of weight zero so that short texts
     need more evidence) and kept (not base_failed, and score at least ``threshold``). A null
@@ -102,14 +102,20 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     """
     weights = F.broadcast(bucket_weights(docs, trusted, buckets, max_trusted))
     text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"))
+    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), text.alias("text"), words_of(F.col("text")).alias("words"))
     counted = words.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", "key", F.size("words").cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"), ngram_buckets(F.col("words"), buckets).alias("grams"))
-    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = ["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     scored = (counted.select("row", *base, F.explode_outer("grams").alias("bucket")).join(weights, "bucket", "left")
               .groupBy("row").agg(*[F.first(c).alias(c) for c in base], F.coalesce(F.sum("weight"), F.lit(0)).alias("total"), F.count("bucket").alias("n")))
     scored = scored.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     scored = scored.withColumn("score", F.col("total") / (F.col("n") + PRIOR_NGRAMS) / _SCALE)
     return scored.select(*base, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns kept."""
+    good = judge(docs, trusted, **options).where("kept").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(good, "_key", "left_semi").drop("_key")

@@ -105,7 +105,7 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_quality_rules")
 def op7_quality_rules(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir))
+    return quality.judge(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir)).drop("key")
 
 
 def language_model(docs: DataFrame) -> language.Model:

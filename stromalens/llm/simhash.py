@@ -42,13 +42,18 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every row; a text without words, or null, has 0."""
+    """doc_id, key (hash of doc_id and text) and fp (signed 64-bit) of every row; a text without
+    words, or null, has fp 0."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t, width, seed) for t in binaries(part, "text")], pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([fingerprint(t, width, seed) for t in binaries(part, "text")], pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), "text").mapInArrow(rows, "doc_id long, key long, fp long")
+
+
+def _key():
+    return F.xxhash64("doc_id", "text").alias("key")
 
 
 def _cuts(mask: int, parts: int) -> list[int]:
@@ -141,6 +146,13 @@ def _with_end(batches):
     yield None
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, root: the smallest fingerprint reachable from each fingerprint."""
+    nodes = materialize(prints.select("fp").distinct())
+    found = components(links(nodes, radius))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row.
 
@@ -148,15 +160,17 @@ def groups(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) ->
     part in the smallest id, and a group of null ids alone has none. An empty table gives none.
     """
     prints = materialize(fingerprints(docs, width, seed))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = materialize(rooted.select("fp", "root").join(lows, "root").select("fp", "component_id"))
+    rooted = _rooted(prints, radius)
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).join(rooted, "fp")
+    labels = materialize(rooted.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """The rows whose doc_id is the smallest of their group, all columns kept."""
-    keep = groups(docs, width, seed, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of each group, all columns kept: the smallest doc_id (null after all others), of
+    several texts under one doc_id the one with the smaller hash, of repeated rows any."""
+    prints = materialize(fingerprints(docs, width, seed))
+    own = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    keep = own.join(_rooted(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    named = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return named.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -256,12 +256,13 @@ def repeats(docs: DataFrame, width: int) -> DataFrame:
     return _leaves(_suffixes(touched, width)).groupBy("key").agg(F.collect_list("starts").alias("starts"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, extra: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, extra: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """Remove each word inside a window of ``width`` words that also starts earlier.
 
     Earlier is a smaller doc_id, or the same text at an earlier place; windows are judged on the
     input. One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept (the words
-    that stay, joined by blanks) and the ``extra`` columns of ``docs``. A null text has no
+    that stay, joined by blanks; with ``as_is`` the unchanged text if all stay) and the ``extra``
+    columns of ``docs``. A null text has no
     words; a null doc_id comes before all others. Rows that repeat a doc_id with the same text
     are one document, returned as often as they came; of different texts under one doc_id, the
     one with the smaller hash comes first.
@@ -274,7 +275,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, extra: list[str] | None = N
             for part in slices(batch, "z"):
                 out = []
                 for doc, packed, starts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    words = z.decompress(packed).split()
+                    text = z.decompress(packed)
+                    words = text.split()
                     n = len(words)
                     if starts:
                         at = np.frombuffer(b"".join(starts), "<i4")
@@ -282,7 +284,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, extra: list[str] | None = N
                         np.add.at(step, at, 1)
                         np.add.at(step, np.minimum(at + width, n), -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(step[:n]) == 0).tolist()]
-                    out.append((None if doc == -(1 << 63) else doc, n, n - len(words), b" ".join(words).decode("utf-8", "replace")))
+                    out.append((None if doc == -(1 << 63) else doc, n, n - len(words), (text if as_is and len(words) == n else b" ".join(words)).decode("utf-8", "replace")))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*cols, part.column(3)], ["doc_id", "n_words", "n_removed", "kept", "other"])
 
