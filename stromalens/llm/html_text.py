@@ -45,6 +45,9 @@ _ENDS = {
 _ENDS_P = BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot caption legend option optgroup summary figcaption".split()) | frozenset(["li", "dd", "dt"])
 #: Elements that a paragraph, or a closing tag, does not reach out of.
 _WALLS = frozenset("table td th caption html object template button".split())
+#: Open elements beyond which further ones hold nothing (their content goes on beside them), and
+#: nesting beyond which elements are laid out as if they were inline. No text is lost.
+MAX_OPEN, MAX_DEPTH = 512, 80
 _IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
 
@@ -109,7 +112,7 @@ def parse(source: str) -> Node:
             content = source[m.end():end.start() if end else len(source)]
             raw_end = end.end() if end else len(source)
             node.children.append(html.unescape(content) if tag in ("textarea", "title") else content)
-        elif tag not in VOID:
+        elif tag not in VOID and len(stack) < MAX_OPEN:
             stack.append(node)
     return root
 
@@ -196,17 +199,13 @@ def width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _lines(children: list, page: _Page | None = None) -> list[str]:
-    page = page or _Page()
-    _render(children, page)
+def _lines(children: list, depth: int = 0) -> list[str]:
+    page = _Page()
+    _render(children, page, depth)
     page.end_line()
     return page.lines
 
 
-#: Nesting beyond which markup is laid out as if its elements were inline.
-MAX_DEPTH = 80
-
-
 def _render(children: list, page: _Page, depth: int = 0) -> None:
     for child in children:
         if isinstance(child, str):
@@ -240,10 +239,10 @@ def _render(children: list, page: _Page, depth: int = 0) -> None:
             page.gap()
         elif tag == "dd":
             page.end_line()
-            page.block(["    " + x if x else x for x in _sub(child, depth)])
+            page.block(["    " + x if x else x for x in _lines(child.children, depth + 1)])
         elif tag == "blockquote":
             page.gap()
-            page.block(["> " + x if x else ">" for x in _sub(child, depth)])
+            page.block(["> " + x if x else ">" for x in _lines(child.children, depth + 1)])
             page.gap()
         elif tag == "q":
             page.line.append(" " if page.space and page.line else "")
@@ -267,13 +266,6 @@ def _render(children: list, page: _Page, depth: int = 0) -> None:
             _render(child.children, page, depth + 1)
 
 
-def _sub(node: Node, depth: int) -> list[str]:
-    page = _Page()
-    _render(node.children, page, depth + 1)
-    page.end_line()
-    return page.lines
-
-
 def _flat(node: Node, page: _Page) -> None:
     todo = list(reversed(node.children))
     while todo:
@@ -350,9 +342,9 @@ def _table(node: Node, depth: int) -> list[str]:
             if not child.isspace():
                 out.append(_SPACES.sub(" ", child).strip())
         elif child.tag == "caption" and not child.hidden:
-            out += _sub(child, depth)
+            out += _lines(child.children, depth + 1)
         elif child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col", "caption") and not child.hidden:
-            out += _lines([child])
+            out += _lines([child], depth + 1)
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # columns that a cell above still covers, and for how many rows
     wide: list[tuple[int, int, int, list[str]]] = []
@@ -364,7 +356,7 @@ def _table(node: Node, depth: int) -> list[str]:
                 continue
             while taken.get(c, 0) > 0:
                 c += 1
-            lines = _sub(cell, depth) if isinstance(cell, Node) and cell.tag in ("td", "th") else _lines([cell])
+            lines = _lines(cell.children, depth + 1) if isinstance(cell, Node) and cell.tag in ("td", "th") else _lines([cell], depth + 1)
             lines = [x for x in lines if x]
             across, down = (_span(cell, "colspan"), _span(cell, "rowspan")) if isinstance(cell, Node) else (1, 1)
             cells[c] = lines
