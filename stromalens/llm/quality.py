@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialize
+
 #: Buckets of the hashed n-grams; the table of their weights has this many rows at most.
 BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is counted over, at most.
@@ -79,7 +81,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     names = F.broadcast(trusted.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("target", F.lit(1)))
     grams = (docs.select("doc_id", words_of(F.col("text")).alias("words")).join(names, "doc_id", "left")
              .select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(ngram_buckets(F.col("words"), buckets)).alias("bucket")))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
+    counts = materialize(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")))
     total = counts.agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).first()
     share = (total["t"] or 0) / max(total["r"] or 0, 1)
     ratio = F.log((F.col("target") + SMOOTHING) / (F.col("raw") * F.lit(share) + SMOOTHING))
