@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's checkpoint folder.
 
-    Only where the session names none (tests, a laptop) a folder of our own is made.
+    Where the session names none, a session on one machine (tests, a laptop) gets a folder of
+    its own; on a cluster that would be a folder that the other machines do not see.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
+    if current is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if current is None:
         current = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(current)

@@ -49,8 +49,13 @@ def pick_column(df: DataFrame, candidates: Sequence[str], required: str | None =
     return hit
 
 
+def stripped(c) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def _parsed(c) -> Column:
-    text = F.trim(_col(c).cast("string"))
+    text = stripped(c)
     return F.when(text.rlike(_DECIMAL), text.try_cast("double"))
 
 
@@ -74,9 +79,10 @@ def safe_long(c, default: int = 0) -> Column:
 
 def canonical_id(c) -> Column:
     """Trimmed id; ``3``, ``"3.0"`` and ``" 3 "`` become ``"3"``, blank becomes null."""
-    text = F.trim(_col(c).cast("string"))
+    text = stripped(c)
     v = _parsed(c)
-    whole = F.when(F.abs(v) < _LONG_LIMIT, v).cast("bigint").cast("string")
+    whole = F.coalesce(F.when(F.abs(v) < _LONG_LIMIT, v).cast("bigint").cast("string"),
+                       F.when(F.abs(v) < 1e37, text).try_cast("decimal(38,0)").cast("string"))
     return F.coalesce(whole, F.nullif(text, F.lit("")))
 
 

@@ -274,12 +274,16 @@ def evidence_lines() -> Column:
         F.when(niche.isNotNull(), F.concat(F.lit("Cross-modal consistency: "), niche["consistency_summary"], F.lit(".")))))
 
 
-def attach_evidence(reviews: DataFrame, evidence: DataFrame, limit: int = 14) -> DataFrame:
-    """Reviews with evidence lines put before their own, repeated lines dropped."""
+def attach_evidence(reviews: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reviews with evidence lines put before their own, repeated lines dropped, cut to ``limit`` if given.
+
+    Reviews without evidence stay as they are.
+    """
     lines = evidence.select("structure_id", evidence_lines().alias("_lines"))
     merged = F.array_distinct(F.concat(F.coalesce("_lines", F.array().cast("array<string>")), F.coalesce("key_evidence", F.array().cast("array<string>"))))
     return (reviews.withColumn("structure_id", S.canonical_id("structure_id")).join(lines, "structure_id", "left")
-            .withColumn("key_evidence", F.slice(merged, 1, limit)).drop("_lines"))
+            .withColumn("key_evidence", F.when(F.col("_lines").isNull(), F.col("key_evidence")).otherwise(merged if limit is None else F.slice(merged, 1, limit)))
+            .drop("_lines"))
 
 
 def consensus_annotation(heuristic: DataFrame, model: DataFrame, markers: DataFrame, min_model_confidence: float = 0.60,

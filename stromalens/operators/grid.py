@@ -281,36 +281,46 @@ def contour_rings(labels: DataFrame, width: int, min_points: int = 3) -> DataFra
 
 
 def dedup_consecutive(vertices: DataFrame, ring: Sequence[str]) -> DataFrame:
-    """Drop a vertex equal to the one before it at six decimals.
+    """Drop a vertex equal to the one before it at six decimals, and number the rest from 0.
 
-    ``seq`` numbers a ring without gaps, so the vertex before is found by a join on
-    ``seq - 1`` instead of a window over a ring of any length.
+    A ring comes from the cells of one grid, so its vertices fit a task.
     """
+    along = Window.partitionBy(*ring).orderBy("seq")
     r = vertices.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
-    before = r.select(*ring, (F.col("seq") + 1).alias("seq"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    same = F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y"))
-    return r.join(before, [*ring, "seq"], "left").filter(~same).drop("_x", "_y")
+    place = F.struct("x", "y")
+    return (r.withColumn("_same", F.coalesce(F.lag(place).over(along) == place, F.lit(False))).filter(~F.col("_same")).drop("_same")
+            .withColumn("seq", (F.row_number().over(along) - 1).cast("bigint")))
 
 
-def thin_vertices(vertices: DataFrame, ring: Sequence[str], max_vertices: int = 100_000) -> DataFrame:
-    """Every step-th vertex of rings that have too many; ``seq`` counts from 0 without gaps."""
-    n = vertices.groupBy(*ring).agg(F.count("*").alias("_n"))
-    step = F.ceil(F.col("_n") / F.lit(max_vertices))
-    return (vertices.join(n, list(ring)).filter(F.pmod(F.col("seq"), step) == 0)
-            .withColumn("seq", (F.col("seq") / step).cast("bigint")).drop("_n"))
+def thin_vertices(vertices: DataFrame, ring: Sequence[str], max_vertices: int) -> DataFrame:
+    """Every step-th vertex of rings that have more than ``max_vertices``, numbered from 0 anew.
 
-
-def close_rings(vertices: DataFrame, ring: Sequence[str]) -> DataFrame:
-    """Repeat the first vertex at the end of each ring."""
-    last = vertices.groupBy(*ring).agg((F.max("seq") + 1).alias("seq"))
-    first = vertices.filter("seq = 0").drop("seq").join(last, list(ring))
+    ``thinned`` tells which rings were; ``seq`` may have gaps.
+    """
+    whole = Window.partitionBy(*ring)
+    step = F.ceil(F.count("*").over(whole) / F.lit(max_vertices))
+    numbered = vertices.withColumn("_step", step).withColumn("seq", (F.row_number().over(whole.orderBy("seq")) - 1).cast("bigint"))
+    return (numbered.filter(F.pmod(F.col("seq"), F.col("_step")) == 0)
+            .withColumn("seq", (F.col("seq") / F.col("_step")).cast("bigint")).withColumn("thinned", F.col("_step") > 1).drop("_step"))
+
+
+def close_rings(vertices: DataFrame, ring: Sequence[str], even_if_closed: bool = True) -> DataFrame:
+    """Repeat the first vertex at the end of each ring, or only of rings that end elsewhere."""
+    place = F.struct("x", "y") if "y" in vertices.columns else F.struct("x")
+    ends = vertices.groupBy(*ring).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"), F.min_by(place, "seq").alias("_a"), F.max_by(place, "seq").alias("_b"))
+    if not even_if_closed:
+        ends = ends.filter(F.col("_a") != F.col("_b"))
+    first = (vertices.join(ends, list(ring)).filter(F.col("seq") == F.col("_first")).withColumn("seq", (F.col("_last") + 1).cast("bigint")))
     return vertices.unionByName(first.select(*vertices.columns))
 
 
 def polygon_export(labels: DataFrame, bounds: DataFrame, spec: DataFrame, cfg: PartitionConfig, pixel_size_um: float,
-                   max_vertices: int = 100_000) -> DataFrame:
+                   max_vertices: int | None = None) -> DataFrame:
     """Closed outlines of every component in slide pixels, holes filled, with selection names.
 
+    Repeated vertices are dropped and outlines of under four points left out. With ``max_vertices``
+    longer outlines are thinned, and ``thinned`` says so.
+
     Components are numbered by the position of their first pixel; a filled component has
     one outline, so its polygon number is 1.
     """
@@ -320,7 +330,6 @@ def polygon_export(labels: DataFrame, bounds: DataFrame, spec: DataFrame, cfg: P
     comp = materialize(comp.select(CASE, "structure_id", F.col("component").alias("part"), "ix", "iy"))
     solid = C.fill_holes(comp, keys, cfg.bins_x, cfg.bins_y)
     rings = C.trace_rings(solid, keys, cfg.bins_x)
-    rings = close_rings(thin_vertices(rings, [*keys, "ring"], max_vertices), [*keys, "ring"])
     order = Window.partitionBy(CASE, "structure_id").orderBy("part")
     numbered = comp.select(*keys).distinct()
     numbers = numbered.withColumn("component_index", F.row_number().over(order)).withColumn(
@@ -329,9 +338,16 @@ def polygon_export(labels: DataFrame, bounds: DataFrame, spec: DataFrame, cfg: P
     dx, dy = (F.col("x_max") - F.col("x_min")) / cfg.bins_x, (F.col("y_max") - F.col("y_min")) / cfg.bins_y
     out = (rings.join(numbers, keys).join(bounds, CASE).join(spec.select("structure_id", "structure_name", "structure_color"), "structure_id")
            .withColumn("x", F.round((F.col("x_min") + F.col("x") * dx) / k, 6)).withColumn("y", F.round((F.col("y_min") + F.col("y") * dy) / k, 6)))
+    ring = [*keys, "ring"]
+
+    def large(d):
+        return d.join(d.groupBy(*ring).agg(F.count("*").alias("_n")).filter("_n >= 4").select(*ring), ring, "left_semi")
+    out = large(dedup_consecutive(close_rings(out, ring, even_if_closed=False), ring)).withColumn("thinned", F.lit(False))
+    if max_vertices is not None:
+        out = large(close_rings(thin_vertices(out, ring, max_vertices), ring, even_if_closed=False))
     name = S.selection_name("structure_id", "structure_name", "component_index", F.lit(1), F.col("_components") == 1)
     return out.select(CASE, "structure_id", "structure_name", "structure_color", "component_index", F.lit(1).alias("polygon_index"),
-                      name.alias("selection"), "seq", "x", "y")
+                      name.alias("selection"), "seq", "x", "y", "thinned")
 
 
 def polygon_summary(polygons: DataFrame) -> DataFrame:

@@ -176,9 +176,14 @@ def _score_block(chunks: DataFrame, rows: list, k: int, key: str, query_id: str,
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "point_id", version: str = "version") -> DataFrame:
-    """Union of both with the last version of each point; each task forwards one row per point."""
-    both = existing.unionByName(incoming, allowMissingColumns=True)
-    return top_per_group(both, [key], [F.desc(version)], 1)
+    """Union of both with the last version of each point; each task forwards one row per point.
+
+    Of equal versions the incoming row wins, and of several incoming ones the largest in
+    the order of the other columns, so that the result does not depend on the shuffle.
+    """
+    both = existing.withColumn("_incoming", F.lit(0)).unionByName(incoming.withColumn("_incoming", F.lit(1)), allowMissingColumns=True)
+    rest = [F.desc(F.to_json(F.struct(*[c for c in both.columns if c not in (key, version, "_incoming")])))]
+    return top_per_group(both, [key], [F.desc(version), F.desc("_incoming"), *rest], 1).drop("_incoming")
 
 
 def lexical_overlap(question, text) -> Column:

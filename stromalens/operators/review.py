@@ -75,11 +75,13 @@ def qc_verdict(df: DataFrame, report: str, min_coverage: float = 0.0, require_pa
                fail_words: Sequence[str] = ("fail",)) -> DataFrame:
     """Errors, warnings, coverage and a verdict from one QC report document per row."""
     doc = F.col(report)
-    valid = F.try_parse_json(doc).isNotNull()
+    parsed = F.try_parse_json(doc)
+    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
     raw = F.coalesce(*[F.when(F.size(_texts(F.get_json_object(doc, p))) > 0, _texts(F.get_json_object(doc, p)))
                        for p in ("$.fatal_errors", "$.errors")])
     failed = F.get_json_object(doc, "$.status").isin(*fail_words)
-    fatal = (F.when(~valid, F.array(F.lit("QC report is not valid JSON."))).when(raw.isNotNull(), raw)
+    fatal = (F.when(parsed.isNull(), F.array(F.lit("QC report is not valid JSON.")))
+             .when(~is_object, F.array(F.lit("QC report is not a JSON object."))).when(raw.isNotNull(), raw)
              .when(failed, F.array(F.lit("QC status is fail."))).otherwise(F.array().cast("array<string>")))
     listed = F.coalesce(*[F.get_json_object(doc, f"$.{k}") for k in COVERAGE_KEYS])
     total = F.get_json_object(doc, "$.n_cells_total").try_cast("double")

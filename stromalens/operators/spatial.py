@@ -208,8 +208,8 @@ def point_in_polygon(points: DataFrame, vertices: DataFrame, tile: float, id_: s
     ``vertices(case_id, polygon_id, part, ring, seq, x, y)``; rings may be open or closed,
     ring 0 is the outline. Each ring edge is listed in the horizontal strips it crosses;
     a point meets only the edges of its own strip in polygons whose box covers its tile.
-    An odd number of edges to its right means inside; holes flip the same count, and
-    parts of a multi-polygon do not overlap, so one count settles all.
+    An odd number of edges to its right means inside a part, as holes flip the same count;
+    a point in any part is in the polygon. ``seq`` orders a ring and may have gaps.
     """
     v = with_case(vertices)
     ring = [CASE, "polygon_id", "part", "ring"]
@@ -222,16 +222,17 @@ def point_in_polygon(points: DataFrame, vertices: DataFrame, tile: float, id_: s
     p = with_case(points).select(CASE, id_, "x", "y", cell(F.col("x")).alias("tx"), cell(F.col("y")).alias("ty"))
     near = p.join(covered.select(CASE, "polygon_id", "tx", "ty"), [CASE, "tx", "ty"])
     # the successor of a vertex is the next in its ring, the last goes back to the first
-    size = v.groupBy(*ring).agg(F.max("seq").alias("_last"), F.min("seq").alias("_first"))
-    nxt = v.select(*ring, F.col("seq").alias("_next"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    edges = (v.join(size, ring).withColumn("_next", F.when(F.col("seq") == F.col("_last"), F.col("_first")).otherwise(F.col("seq") + 1))
-             .join(nxt, [*ring, "_next"]).filter(F.col("y") != F.col("by"))
-             .select(CASE, "polygon_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by"))
+    along = Window.partitionBy(*ring).orderBy("seq")
+    end = F.struct("x", "y")
+    edges = (v.withColumn("_b", F.coalesce(F.lead(end).over(along), F.first(end).over(along)))
+             .select(CASE, "polygon_id", "part", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_b.x").alias("bx"), F.col("_b.y").alias("by"))
+             .filter(F.col("ay") != F.col("by")))
     edges = edges.withColumn("ty", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by")))))
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
     at = F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
     hits = near.join(edges, [CASE, "polygon_id", "ty"]).filter(spans & (F.col("x") < at))
-    return hits.groupBy(CASE, id_, "polygon_id").agg(F.count("*").alias("_k")).filter(F.col("_k") % 2 == 1).drop("_k")
+    inside = hits.groupBy(CASE, id_, "polygon_id", "part").agg(F.count("*").alias("_k")).filter(F.col("_k") % 2 == 1)
+    return inside.select(CASE, id_, "polygon_id").distinct()
 
 
 def zscore_projection(labels: DataFrame, cells: DataFrame, min_matched: float = 0.5) -> DataFrame:

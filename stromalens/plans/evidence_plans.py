@@ -245,12 +245,15 @@ def evidence_lines(spark, sf):
     return _map(spark, sf).select("structure_id", F.array_join(E.evidence_lines(), "|").alias("text"))
 
 
-@plan("attach_evidence", f"""WITH {LINES} SELECT structure_id, text || '|seen ' || structure_id AS key_evidence FROM reviews JOIN lines USING (structure_id)""")
+@plan("attach_evidence", f"""WITH {LINES} SELECT structure_id, text || '|seen ' || structure_id AS key_evidence FROM reviews JOIN lines USING (structure_id)
+  UNION ALL SELECT 'none', repeat('own|', 19) || 'own'""")
 def attach_evidence(spark, sf):
     r = _reviews(spark, sf)
     own = F.concat(F.lit("seen "), S.canonical_id("structure_id"))
     r = r.withColumn("key_evidence", F.array(own, own))
-    return E.attach_evidence(r, _map(spark, sf)).select("structure_id", F.array_join("key_evidence", "|").alias("key_evidence"))
+    # a review without evidence keeps all of its lines
+    r = r.select("structure_id", "key_evidence").unionByName(spark.range(1).select(F.lit("none").alias("structure_id"), F.array_repeat(F.lit("own"), 20).alias("key_evidence")))
+    return E.attach_evidence(r, _map(spark, sf), limit=14).select("structure_id", F.array_join("key_evidence", "|").alias("key_evidence"))
 
 
 @plan("case_review_text", f"WITH {FUSION} SELECT structure_id, consistency_summary FROM fusion")

@@ -237,7 +237,7 @@ def polygon_summary(spark, sf):
 
 @plan("clean_rings", f"""WITH {CELLS}, s AS (SELECT custkey, round(x, 0) AS x, cluster, row_number() OVER (PARTITION BY custkey ORDER BY cell_id) - 1 AS seq FROM cells),
    l AS (SELECT *, lag(x) OVER w AS px, lag(cluster) OVER w AS pc FROM s WINDOW w AS (PARTITION BY custkey ORDER BY seq))
-  SELECT custkey, seq, x FROM l WHERE NOT (px IS NOT NULL AND px = x)""")
+  SELECT custkey, row_number() OVER (PARTITION BY custkey ORDER BY seq) - 1 AS seq, x FROM l WHERE NOT (px IS NOT NULL AND px = x)""")
 def clean_rings(spark, sf):
     from pyspark.sql import Window
     c = cells(spark, sf)

@@ -179,11 +179,14 @@ def rerank(spark, sf):
     return V.rerank(c, 3).select("query_id", "doc_id", "rerank_score", "position")
 
 
-@plan("upsert_chunks", """SELECT CAST(doc_id AS VARCHAR) AS point_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version, CASE WHEN lang = 'en' THEN 'new ' || lang ELSE lang END AS text FROM documents""")
+@plan("upsert_chunks", """SELECT CAST(doc_id AS VARCHAR) AS point_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version,
+  CASE WHEN lang = 'en' THEN 'new en' WHEN lang = 'fr' THEN 'again fr' ELSE lang END AS text FROM documents""")
 def upsert_chunks(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("point_id"), F.lit(1).alias("version"), F.col("lang").alias("text"))
     newer = d.filter("text = 'en'").withColumn("version", F.lit(2)).withColumn("text", F.concat(F.lit("new "), "text"))
-    return V.upsert(newer, d)
+    # of equal versions the incoming row wins
+    same = d.filter("text = 'fr'").withColumn("text", F.concat(F.lit("again "), "text"))
+    return V.upsert(V.upsert(newer, d), same)
 
 
 @plan("qc_windows", f"""WITH {BUNDLES} SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, source, count(*) AS total_bundles, count(*) FILTER (qc_status = 'ok') AS passed,

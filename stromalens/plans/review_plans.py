@@ -70,14 +70,14 @@ def finetuning_trigger(spark, sf):
 
 @plan("qc_verdict", """WITH q AS (SELECT event_id, event_type, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
   c AS (SELECT *, CASE event_type WHEN 'view' THEN k / 100 WHEN 'purchase' THEN CASE WHEN k > 0 THEN value / k END END AS cov FROM q)
-  SELECT event_id, CASE event_type WHEN 'error' THEN 'QC report is not valid JSON.' WHEN 'click' THEN CASE WHEN k < 50 THEN 'bad registration|low depth' ELSE 'QC status is fail.' END
+  SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN k < 30 THEN 'QC report is not a JSON object.' ELSE 'QC report is not valid JSON.' END WHEN 'click' THEN CASE WHEN k < 50 THEN 'bad registration|low depth' ELSE 'QC status is fail.' END
     ELSE '' END AS fatal_errors, round(cov, 9) AS cell_coverage,
    CAST((CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) + (CASE WHEN cov < 0.4 THEN 1 ELSE 0 END) AS INTEGER) AS n_warnings,
    CASE WHEN event_type IN ('error', 'click') THEN 'fail' WHEN event_type = 'signup' OR cov < 0.4 THEN 'warning' ELSE 'ok' END AS qc_status FROM c""")
 def qc_verdict(spark, sf):
     e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     t = F.col("event_type")
-    doc = (F.when(t == "error", "{oops").when((t == "click") & (F.col("k") < 50), '{"errors": ["bad registration", " ", "low depth"], "status": "fail"}')
+    doc = (F.when((t == "error") & (F.col("k") < 15), "[1, 2]").when((t == "error") & (F.col("k") < 30), "3").when(t == "error", "{oops").when((t == "click") & (F.col("k") < 50), '{"errors": ["bad registration", " ", "low depth"], "status": "fail"}')
            .when(t == "click", '{"status": "fail"}').when(t == "signup", '{"warnings": ["check", ""]}')
            .when(t == "view", F.to_json(F.struct((F.col("k") / 100).alias("cell_coverage"))))
            .otherwise(F.to_json(F.struct(F.col("k").alias("n_cells_total"), F.col("value").alias("n_cells_with_image")))))
@@ -262,7 +262,7 @@ def id_union(spark, sf):
 @plan("file_inventory")
 def file_inventory(spark, sf):
     """Files of the table folder with size, hash and type (no SQL: DuckDB has no view of the files)."""
-    return files.file_inventory(spark, sf, hash_below=50_000_000).select("name", "size_bytes", "sha256", "media_type")
+    return files.file_inventory(spark, sf).select("name", "size_bytes", "sha256", "media_type")
 
 
 @plan("distinct_paths", """SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS path FROM pages""")

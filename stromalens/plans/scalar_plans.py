@@ -78,8 +78,8 @@ def safe_scalars(spark, sf):
   WHEN event_type = 'signup' THEN 'nan' ELSE CAST(event_id AS VARCHAR) END AS id FROM events""")
 def canonical_id(spark, sf):
     u, t = F.col("user_id").cast("string"), F.col("event_type")
-    raw = (F.when(t == "view", F.concat(F.lit(" "), u, F.lit(".0 "))).when(t == "click", "   ")
-           .when(t == "error", F.concat(F.lit("cluster "), u, F.lit(" "))).when(t == "signup", "nan")
+    raw = (F.when(t == "view", F.concat(F.lit("\t "), u, F.lit(".0 \n"))).when(t == "click", " \r\n ")
+           .when(t == "error", F.concat(F.lit("cluster "), u, F.lit("\n"))).when(t == "signup", "nan")
            .otherwise(F.col("event_id").cast("string")))
     return table(spark, sf, "events").select("event_id", S.canonical_id(raw).alias("id"))
 

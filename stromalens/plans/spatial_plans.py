@@ -163,9 +163,17 @@ def squares(spark, sf):
 
 @plan("point_in_polygon", f"""WITH {CELLS}, q AS (SELECT s_suppkey AS polygon_id, s_suppkey * 37 % 500 AS cx, s_suppkey * 211 % 2600 + 900 AS cy, s_nationkey + 5 AS r, s_acctbal > 5000 AS hole FROM supplier)
   SELECT cell_id, polygon_id FROM cells, q WHERE x >= cx - r AND x < cx + r AND y >= cy - 3 * r AND y < cy + 3 * r
-   AND NOT (hole AND x >= cx - r / 2 AND x < cx + r / 2 AND y >= cy - 1.5 * r AND y < cy + 1.5 * r)""")
+   AND NOT (hole AND x >= cx - r / 2 AND x < cx + r / 2 AND y >= cy - 1.5 * r AND y < cy + 1.5 * r)
+   OR x >= cx AND x < cx + 2 * r AND y >= cy AND y < cy + 6 * r AND NOT (x >= cx + r AND y >= cy + 3 * r)""")
 def point_in_polygon(spark, sf):
-    return P.point_in_polygon(cells(spark, sf).select("cell_id", "x", "y"), squares(spark, sf), 25.0).select("cell_id", "polygon_id")
+    """Squares with and without a hole, each with an L-shaped second part that overlaps the first."""
+    v = squares(spark, sf).withColumn("seq", F.col("seq") * 3)  # gaps in the numbering
+    s = table(spark, sf, "supplier")
+    r, cx, cy = (F.col("s_nationkey") + 5), F.col("s_suppkey") * 37 % 500, F.col("s_suppkey") * 211 % 2600 + 900
+    ell = [(0, 0), (2, 0), (2, 3), (1, 3), (1, 6), (0, 6)]
+    corners = F.array(*[F.struct(F.lit(i * i).alias("seq"), (cx + a * r).cast("double").alias("x"), (cy + b * r).cast("double").alias("y")) for i, (a, b) in enumerate(ell)])
+    second = s.select(F.col("s_suppkey").alias("polygon_id"), F.lit(1).alias("part"), F.lit(0).alias("ring"), F.explode(corners).alias("v")).select("polygon_id", "part", "ring", "v.*")
+    return P.point_in_polygon(cells(spark, sf).select("cell_id", "x", "y"), v.unionByName(second), 25.0).select("cell_id", "polygon_id")
 
 
 PROGRAMS = f"""{CELLS}, {EXPRESSION}, sets AS (SELECT p_type AS pathway, p_partkey AS gene FROM part),
