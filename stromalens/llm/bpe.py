@@ -31,7 +31,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _RUNS = re.compile(rb"[ \n]{2}|[\x01\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Scripts whose letters every Unicode version knows alike; others are cut by the library.
 _SETTLED = re.compile("[\x00-ԯ]*")
-PAIRS_KEPT = 300_000
+#: Entries of a worker's pair table and of each generation of its memo of words.
+PAIRS_KEPT, CHUNKS_KEPT = 200_000, 200_000
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -82,7 +83,7 @@ class BytePairCoder:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[bytes, list[int]] = {}
-        self.memo = Memo(self._chunk)
+        self.memo = Memo(self._chunk, CHUNKS_KEPT)
         self.cut_special = re.compile(b"(" + b"|".join(re.escape(x.encode()) for x in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self._library, self._path = None, path
 
