@@ -6,42 +6,59 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import dense_row_number, top_per_group
+from ..functions.lineage import materialize
+from .ranking import top_per_group
 
-QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+#: Rows of a block of chunks and of queries, and scores that a task holds at a time.
+CHUNK_ROWS, QUERY_ROWS, TILE = 16_384, 1024, 1 << 21
 CHUNK = "array<struct<start:int,stop:int,text:string>>"
 
 
 def chunk_spans(text, size: int = 1200, overlap: int = 120) -> Column:
     """Overlapping pieces of a text, cut at a paragraph, sentence or word where one is near.
 
-    The place of each cut depends on the one before, so one text is walked in order;
-    texts are independent.
+    The places where a cut may fall are found for a whole batch of texts at once; then all
+    texts of the batch take their next chunk in the same round of array operations.
     """
     if size < 1 or overlap < 0:
         raise ValueError("chunk size must be positive and overlap not negative")
 
     @F.pandas_udf(CHUNK)
     def spans(texts):
+        import numpy as np
         import pandas as pd
 
-        def walk(raw):
-            body = (raw or "").replace("\r\n", "\n").strip()
-            found, at = [], 0
-            while at < len(body):
-                stop = min(len(body), at + size)
-                if stop < len(body):
-                    cut = max(body.rfind(mark, at, stop) for mark in ("\n\n", ". ", " "))
-                    if cut - at > size // 2:
-                        stop = cut + 1
-                piece = body[at:stop].strip()
+        bodies = [(t or "").replace("\r\n", "\n").strip() for t in texts]
+        laid = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
+        begins = ends - np.array([len(b) for b in bodies], np.int64)
+        # for each character, the last place at or before it where a cut may fall; the blank
+        # after a full stop lies behind the stop, so sentences need no mark of their own
+        place = np.arange(len(laid))
+        breaks = np.where(laid == 32, place, -1)
+        if len(laid) > 1:
+            paragraph = (laid[1:] == 10) & (laid[:-1] == 10)
+            breaks[1:] = np.where(paragraph, np.maximum(breaks[1:], place[:-1]), breaks[1:])
+        breaks = np.maximum.accumulate(breaks)
+        # all texts advance together, one chunk a round
+        row = np.flatnonzero(ends > begins)
+        front = begins[row]
+        found = []
+        while len(row):
+            limit = np.minimum(front + size, ends[row])
+            back = breaks[limit - 1]
+            far = (limit < ends[row]) & (back - front > size // 2)
+            limit = np.where(far, back + 1, limit)
+            found.append((row, front - begins[row], limit - begins[row]))
+            more = limit < ends[row]
+            row, front = row[more], np.maximum(front[more] + 1, limit[more] - overlap)
+        out = [[] for _ in bodies]
+        for rows, lo, hi in found:
+            for i, start, stop in zip(rows.tolist(), lo.tolist(), hi.tolist()):
+                piece = bodies[i][start:stop].strip()
                 if piece:
-                    found.append({"start": at, "stop": stop, "text": piece})
-                if stop == len(body):
-                    break
-                at = max(at + 1, stop - overlap)
-            return found
-        return pd.Series([walk(t) for t in texts])
+                    out[i].append({"start": start, "stop": stop, "text": piece})
+        return pd.Series(out)
     return spans(text if isinstance(text, Column) else F.col(text))
 
 
@@ -112,67 +129,64 @@ def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int, key: str = "poin
                  document_ids: Sequence[str] | None = None, digits: int = 9) -> DataFrame:
     """``(query_id, key, score, rank)``: the ``k`` chunks with the largest cosine per query.
 
-    Exact, one pass over the chunks per block of queries. Blocks of at most
-    ``QUERY_BLOCK_BYTES`` are sent to the tasks; more queries make more blocks. A task
-    multiplies Arrow batches with the block and passes on its best k, so what is
-    shuffled grows with tasks times k. Scores are rounded before ranking and equal
-    scores go by key, which keeps the result independent of the partitioning.
+    Exact. Chunks and queries are cut into blocks by hash, and each pair of blocks is one unit of
+    work that scores tiles of at most ``TILE`` products and passes on its best k, so no side
+    goes through the driver and a task's memory does not grow with either side. Scores are rounded
+    before ranking and equal scores go by key, which keeps the result independent of the
+    partitioning. Without queries the result is empty.
     """
     if document_ids is not None:
         chunks = chunks.filter(F.col("document_id").isin(list(document_ids)))
-    qs = queries.select(F.col(query_id).alias("_q"), F.col("vector").cast("array<double>").alias("_v"))
-    size = qs.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("d")).first()
-    if not size["n"]:
-        raise ValueError("no queries")
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * size["d"]))
-    blocks = [qs] if size["n"] <= per_block else None
-    if blocks is None:
-        numbered = dense_row_number(qs, ["_q"], "_rn")
-        blocks = [numbered.filter((F.col("_rn") > lo) & (F.col("_rn") <= lo + per_block)).drop("_rn") for lo in range(0, size["n"], per_block)]
-    qtype, ktype = dict(queries.dtypes)[query_id], dict(chunks.dtypes)[key]
-    schema = f"{query_id} {qtype}, {key} {ktype}, score double"
-    best = None
-    for block in blocks:
-        part = _score_block(chunks.select(key, F.col("vector").cast("array<double>").alias("vector")), block.collect(), k, key, query_id, schema, digits)
-        best = part if best is None else best.unionByName(part)
+    side = chunks.select(F.col(key).alias("_k"), F.col("vector").cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
+    # vectors may be costly to make, so they are kept before they are counted
+    side = materialize(side)
+    qs = materialize(queries.select(F.col(query_id).alias("_k"), F.col("vector").cast("array<double>").alias("_v")).filter("_v IS NOT NULL"))
+    c_blocks, q_blocks = (max(1, -(-d.count() // rows)) for d, rows in ((side, CHUNK_ROWS), (qs, QUERY_ROWS)))
+
+    def block(n):
+        return F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = side.select("_k", "_v", block(c_blocks).alias("_c"), every(q_blocks).alias("_b"))
+    right = qs.select("_k", "_v", every(c_blocks).alias("_c"), block(q_blocks).alias("_b"))
+    schema = f"{query_id} {dict(queries.dtypes)[query_id]}, {key} {dict(chunks.dtypes)[key]}, score double"
+
+    def unit(chunk_rows, query_rows):
+        return _best_of_block(chunk_rows, query_rows, k, key, query_id, digits)
+    best = left.groupBy("_c", "_b").cogroup(right.groupBy("_c", "_b")).applyInPandas(unit, schema)
     return top_per_group(best, [query_id], [F.desc("score"), F.asc(key)], k, rank="rank")
 
 
-def _score_block(chunks: DataFrame, rows: list, k: int, key: str, query_id: str, schema: str, digits: int) -> DataFrame:
-    ids = [r["_q"] for r in rows]
-    vectors = [list(r["_v"]) for r in rows]
-
-    def score(batches):
-        import numpy as np
-        import pandas as pd
-        width = max(map(len, vectors))
-        q = np.zeros((len(vectors), width))
-        for i, v in enumerate(vectors):
-            q[i, :len(v)] = v
-        norm = np.linalg.norm(q, axis=1)
-        q = np.divide(q, norm[:, None], out=np.zeros_like(q), where=norm[:, None] > 0)
-        held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.zeros((len(pdf), width))
-            sizes = np.zeros(len(pdf))
-            for i, v in enumerate(pdf["vector"]):
-                v = np.asarray(v, dtype=float)
-                sizes[i] = np.linalg.norm(v)
-                m[i, :min(width, len(v))] = v[:width]
-            s = np.divide(m @ q.T, sizes[:, None], out=np.zeros((len(pdf), len(ids))), where=sizes[:, None] > 0)
-            s = np.round(s, digits) + 0.0
-            names = pdf[key].to_numpy()
-            take = min(k, len(pdf))
-            floor = np.partition(s, len(pdf) - take, axis=0)[len(pdf) - take]
-            row, col = np.nonzero(s >= floor[None, :])
-            new = pd.DataFrame({"_c": col, key: names[row], "score": s[row, col]})
-            held = new if held is None else pd.concat([held, new])
-            held = held.sort_values(["_c", "score", key], ascending=[True, False, True]).groupby("_c", sort=False).head(k)
-        if held is not None:
-            yield pd.DataFrame({query_id: [ids[c] for c in held["_c"]], key: held[key].to_numpy(), "score": held["score"].to_numpy()})
-    return chunks.mapInPandas(score, schema)
+def _unit_rows(vectors, width: int):
+    """Vectors cut or padded to ``width`` and divided by their own length; zero vectors stay zero."""
+    import numpy as np
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        v = np.asarray(v, float)
+        size = np.linalg.norm(v)
+        if size > 0:
+            out[i, :min(width, len(v))] = v[:width] / size
+    return out
+
+
+def _best_of_block(chunk_rows, query_rows, k: int, key: str, query_id: str, digits: int):
+    """Best ``k`` chunks of one block for each query of another."""
+    import numpy as np
+    import pandas as pd
+    parts = []
+    if len(chunk_rows) and len(query_rows):
+        chunk_rows = chunk_rows.sort_values("_k", ignore_index=True)
+        width = max(map(len, query_rows["_v"]))
+        names, m = chunk_rows["_k"].to_numpy(), _unit_rows(chunk_rows["_v"], width)
+        step = max(1, TILE // len(names))
+        for at in range(0, len(query_rows), step):
+            tile = query_rows.iloc[at:at + step]
+            s = np.round(_unit_rows(tile["_v"], width) @ m.T, digits) + 0.0
+            # a stable sort leaves equal scores in the order of their keys
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            parts.append(pd.DataFrame({query_id: np.repeat(tile["_k"].to_numpy(), top.shape[1]), key: names[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()}))
+    return pd.concat(parts) if parts else pd.DataFrame()
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "point_id", version: str = "version") -> DataFrame:

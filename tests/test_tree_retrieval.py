@@ -65,6 +65,48 @@ def test_chunks_cover_the_text(spark):
     assert {r.document_id for r in V.documents_without_chunks(d).collect()} == {"e", "f"}
 
 
+def slow_chunks(body, size, overlap):
+    """By characters: step back from the limit to the nearest blank or paragraph break."""
+    at, spans = 0, []
+    while at < len(body):
+        stop = at + size
+        if stop >= len(body):
+            stop = len(body)
+        else:
+            for i in range(stop - 1, at + size // 2, -1):
+                if body[i] == " " or body[i:i + 2] == "\n\n" and i + 2 <= stop:
+                    stop = i + 1
+                    break
+        if body[at:stop].strip():
+            spans.append((at, stop, body[at:stop].strip()))
+        if stop == len(body):
+            return spans
+        at = max(at + 1, stop - overlap)
+    return spans
+
+
+def test_chunks_match_a_slow_walk(spark):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab. \né😀"), int(rng.integers(0, 300)))) for _ in range(150)] + [None, "", "\n\n", "x" * 90]
+    d = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    for size, overlap in ((1, 0), (7, 3), (20, 25), (50, 10)):
+        got = {}
+        for r in V.chunk_documents(d, size, overlap).collect():
+            got.setdefault(int(r.document_id), []).append((r.start, r.stop, r.text))
+        for i, t in enumerate(texts):
+            assert sorted(got.get(i, [])) == sorted(slow_chunks((t or "").replace("\r\n", "\n").strip(), size, overlap)), (i, size, overlap)
+
+
+def test_score_tiles(monkeypatch):
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    c = pd.DataFrame({"_k": range(40), "_v": list(rng.integers(-2, 3, (40, 3)).astype(float))})
+    q = pd.DataFrame({"_k": range(9), "_v": list(rng.integers(-2, 3, (9, 3)).astype(float))})
+    whole = V._best_of_block(c, q, 4, "c", "q", 9)
+    monkeypatch.setattr(V, "TILE", 80)
+    assert whole.reset_index(drop=True).equals(V._best_of_block(c, q, 4, "c", "q", 9).reset_index(drop=True))
+
+
 def test_retrieve_with_plug_ins_and_filter(spark):
     def vectors(texts):
         import pandas as pd
@@ -93,8 +135,10 @@ def test_top_k_blocks_and_ties(spark, monkeypatch):
     def result():
         return sorted((r.query_id, r["rank"], r.point_id) for r in V.vector_top_k(chunks, qs, 6).collect())
     one = result()
-    monkeypatch.setattr(V, "QUERY_BLOCK_BYTES", 8 * 4 * 3)
+    monkeypatch.setattr(V, "QUERY_ROWS", 3)
+    monkeypatch.setattr(V, "CHUNK_ROWS", 11)
     assert result() == one
+    assert V.vector_top_k(chunks, qs.limit(0), 6).count() == 0 and V.vector_top_k(chunks.limit(0), qs, 6).count() == 0
     for i in range(7):
         n = np.linalg.norm(m, axis=1) * np.linalg.norm(q[i])
         s = np.round(np.divide(m @ q[i], n, out=np.zeros(60), where=n > 0), 9)
