@@ -67,7 +67,7 @@ def background_runs(runs: DataFrame, keys: Sequence[str], width: int, height: in
     return gaps.filter("x0 <= x1")
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, u, root)`` for every node that has an edge ``(keys…, u, v)``; root is the smallest node reached.
 
     Large-star and small-star steps alternate until the edges stop changing. Each is an
@@ -77,7 +77,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int
     k = list(keys)
     current = materialize(edges.filter("u <> v").select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*k, "u").agg(F.min("v").alias("_m")).select(*k, "u", F.least("u", "_m").alias("m"))
         large = both.join(low, [*k, "u"]).filter("v > u").select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -89,8 +89,6 @@ def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = current.withColumnRenamed("v", "root")
     roots = root.select(*k, F.col("root").alias("u"), "root").distinct()
     return root.unionByName(roots)
@@ -231,7 +229,7 @@ def _code(side: Column, width: int) -> Column:
     return ((side["iy"].cast("bigint") * width + side["ix"]) * 4 + side["s"]).cast("bigint")
 
 
-def trace_rings(mask: DataFrame, keys: Sequence[str], width: int, max_rounds: int = 40) -> DataFrame:
+def trace_rings(mask: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Boundary vertices in walking order: ``(keys…, ring, seq, x, y)``, ``ring`` the smallest side on it.
 
     A ring is a linked list over sides. Doubling the reach of every side each round
@@ -243,7 +241,7 @@ def trace_rings(mask: DataFrame, keys: Sequence[str], width: int, max_rounds: in
     sides = materialize(sides)
     state = sides.select(*k, "e", "nxt", F.col("e").alias("low"), F.lit(0).cast("bigint").alias("off"))
     reach = 1
-    for _ in range(max_rounds):
+    while True:
         other = state.select(*k, F.col("e").alias("nxt"), F.col("nxt").alias("_nxt"), F.col("low").alias("_low"), F.col("off").alias("_off"))
         step = state.join(other, [*k, "nxt"])
         better = F.col("_low") < F.col("low")
@@ -252,8 +250,6 @@ def trace_rings(mask: DataFrame, keys: Sequence[str], width: int, max_rounds: in
         reach *= 2
         if state.filter("moved").isEmpty():
             break
-    else:
-        raise RuntimeError(f"rings longer than 2**{max_rounds}")
     length = state.groupBy(*k, "low").agg(F.count("*").alias("_len"))
     seq = F.pmod(F.col("_len") - F.col("off"), F.col("_len"))
     return (sides.drop("nxt").join(state.select(*k, "e", "low", "off"), [*k, "e"]).join(length, [*k, "low"])

@@ -14,6 +14,11 @@ QC_STATUSES = ("ok", "warning", "fail", "unknown")
 EVIDENCE_UNITS = ("cell", "region", "structure", "case")
 REVIEW_STATES = ("pending", "approved", "rejected", "not_required")
 CORRECTION_TYPES = ("label_override", "reject", "flag_for_finetuning")
+EVIDENCE_FIELDS = ("schema_version", "evidence_id", "unit", "unit_id", "source", "evidence_type", "measured", "model_derived", "qc_status", "summary",
+                   "supporting_artifacts", "artifact_ids", "artifact_hashes", "tool_name", "input_hash", "model_version", "checkpoint_hash",
+                   "elapsed_seconds", "timestamp", "requires_human_review", "human_review_state", "conflict_note")
+CORRECTION_FIELDS = ("schema_version", "correction_id", "evidence_id", "unit_id", "correction_type", "original_label", "corrected_label",
+                     "reviewer_id", "note", "timestamp")
 PAYLOAD_LISTS = ("visual_evidence", "molecular_evidence", "conflicts", "recommended_checks")
 # ----------------------------------------------------------------------------
 
@@ -54,13 +59,17 @@ def row_contract(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 
-def evidence_bundle_rules() -> list[Rule]:
-    return [min_length("evidence_id"), one_of("unit", EVIDENCE_UNITS), min_length("source"), min_length("evidence_type"),
+def evidence_bundle_rules(source_json: str | None = None) -> list[Rule]:
+    """Contract of an evidence bundle; with the column of its JSON text, other fields are forbidden."""
+    extra = [no_extra_fields(source_json, EVIDENCE_FIELDS)] if source_json else []
+    return [*extra, min_length("evidence_id"), one_of("unit", EVIDENCE_UNITS), min_length("source"), min_length("evidence_type"),
             one_of("qc_status", QC_STATUSES), one_of("human_review_state", REVIEW_STATES)]
 
 
-def correction_rules() -> list[Rule]:
-    return [min_length("correction_id"), min_length("evidence_id"), one_of("correction_type", CORRECTION_TYPES)]
+def correction_rules(source_json: str | None = None) -> list[Rule]:
+    """Contract of a reviewer's correction; with the column of its JSON text, other fields are forbidden."""
+    extra = [no_extra_fields(source_json, CORRECTION_FIELDS)] if source_json else []
+    return [*extra, min_length("correction_id"), min_length("evidence_id"), one_of("correction_type", CORRECTION_TYPES)]
 
 
 def annotation_rules() -> list[Rule]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,6 +29,7 @@ NOTE_ARTIFACT = "H&E morphology raises a tissue-quality caveat for this structur
 NOTE_PATHWAYS = "pathway activity adds molecular program context: "
 # Reason codes of the consensus (kept for equal results)
 REASON_UNAVAILABLE = "pathology_ai_unavailable"
+REASON_ERROR = "pathology_ai_error"
 REASON_LOW = "pathology_ai_low_confidence"
 REASON_SAME = "same_label"
 REASON_NO_OVERLAP = "no_marker_overlap"
@@ -51,14 +53,28 @@ def argmax_label(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return top_per_group(counts, keys, [F.desc("n"), F.asc(label)], 1)
 
 
+def mapping_problems(mapping: DataFrame) -> list[str]:
+    """What keeps a cell mapping from being read (fixed texts); no row is looked at."""
+    if S.pick_column(mapping, MAPPING_CLUSTER_NAMES) is None:
+        return ["RNA foundation cell mapping is missing a cluster_id/cluster column."]
+    if S.pick_column(mapping, MAPPING_LABEL_NAMES) is None:
+        return ["RNA foundation cell mapping is missing a predicted/reference label column."]
+    return []
+
+
 def cell_mapping_to_clusters(mapping: DataFrame) -> DataFrame:
-    """Cell-level reference labels summed up per cluster.
+    """Cell-level reference labels summed up per cluster; a missing column gives a warning and no rows.
 
     Counted per (cluster, label) first, so a cluster holding most cells is reduced
     before it is shuffled.
     """
-    cluster = S.pick_column(mapping, MAPPING_CLUSTER_NAMES, required="cluster of a cell mapping")
-    label = S.pick_column(mapping, MAPPING_LABEL_NAMES, required="label of a cell mapping")
+    for problem in mapping_problems(mapping):
+        warnings.warn(problem, stacklevel=2)
+    missing = F.lit(None).cast("string").alias("_missing")
+    cluster = S.pick_column(mapping, MAPPING_CLUSTER_NAMES)
+    label = S.pick_column(mapping, MAPPING_LABEL_NAMES)
+    if cluster is None or label is None:  # no rows, but the columns of a result
+        mapping, cluster, label = mapping.limit(0).withColumn("_missing", missing), "_missing", "_missing"
     conf = S.pick_column(mapping, MAPPING_CONFIDENCE_NAMES)
     if conf is None:
         value = F.lit(0.0)
@@ -242,10 +258,10 @@ def sort_ids(df: DataFrame, c: str = "structure_id") -> DataFrame:
     return df.orderBy(F.length(c), c)
 
 
-def natural_label_order(c: str) -> list[Column]:
-    """Numeric labels first as numbers, then text."""
+def natural_label_keys(df: DataFrame, c: str) -> DataFrame:
+    """Add the sort keys ``_text`` and ``_number``: numeric labels come first, as numbers, then text by ``c``."""
     number = F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("decimal(38,0)"))
-    return [number.isNull().asc(), number.asc(), F.col(c).asc()]
+    return df.withColumn("_text", number.isNull()).withColumn("_number", number)
 
 
 def foundation_map(rna: DataFrame, pathway: DataFrame, he: DataFrame, niche: DataFrame) -> DataFrame:
@@ -290,19 +306,22 @@ def consensus_annotation(heuristic: DataFrame, model: DataFrame, markers: DataFr
                          override_margin: float = 0.15, require_marker_overlap: bool = True, low_heuristic: float = 0.65) -> DataFrame:
     """Choose between the rule-based and the model label of each cluster, with the reason.
 
-    ``heuristic/model(cluster_id, label_id, confidence[, supporting_markers])``,
+    ``heuristic/model(cluster_id, label_id, confidence[, supporting_markers][, error])``; a model
+    row with an ``error`` is a call that failed, a cluster without a row was never asked for,
     ``markers(cluster_id, positive_genes ARRAY<STRING>)``.
     """
     def names(c):
         return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda g: F.upper(F.trim(g)))
+    error = F.col("error") if "error" in model.columns else F.lit(None).cast("string")
+    answer = F.when(error.isNull(), F.col("label_id")).alias("model_label_id")
     rows = (heuristic.select("cluster_id", F.col("label_id").alias("heuristic_label_id"), F.col("confidence").alias("heuristic_confidence"))
-            .join(model.select("cluster_id", F.col("label_id").alias("model_label_id"), F.col("confidence").alias("model_confidence"),
-                               "supporting_markers", F.lit(True).alias("_has")), "cluster_id", "left")
+            .join(model.select("cluster_id", answer, F.col("confidence").alias("model_confidence"),
+                               "supporting_markers", error.alias("_error"), F.when(error.isNull(), True).alias("_has")), "cluster_id", "left")
             .join(markers, "cluster_id", "left"))
     shared = F.filter(F.array_intersect(names("positive_genes"), names("supporting_markers")), lambda g: g != "")
     overlap = F.col("_has").isNotNull() & (F.size(shared) > 0)
     h, m = F.col("heuristic_confidence"), F.col("model_confidence")
-    reason = (F.when(F.col("_has").isNull(), REASON_UNAVAILABLE).when(m < min_model_confidence, REASON_LOW)
+    reason = (F.when(F.col("_error").isNotNull(), REASON_ERROR).when(F.col("_has").isNull(), REASON_UNAVAILABLE).when(m < min_model_confidence, REASON_LOW)
               .when(F.col("model_label_id").eqNullSafe(F.col("heuristic_label_id")), REASON_SAME)
               .when(F.lit(require_marker_overlap) & ~overlap, REASON_NO_OVERLAP).when(h < low_heuristic, REASON_WEAK_HEURISTIC)
               .when(m - h >= override_margin, REASON_MARGIN).otherwise(REASON_RETAINED))

@@ -466,6 +466,6 @@ def stretch_to_byte(pixels: DataFrame, value: str, keys: Sequence[str] = ("patch
     return pixels.join(q, list(keys)).withColumn(value, F.floor(part * 255.0).cast("int")).drop("_lo", "_hi")
 
 
-def preview_sample(cells: DataFrame, id_: str, n: int = 60_000, seed: int = 42) -> DataFrame:
-    """A repeatable sample of ``n`` cells: the smallest hashes of id and seed (all when there are fewer)."""
-    return cells.orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_).limit(n)
+def preview_sample(cells: DataFrame, id_: str, n: int, seed: int = 42) -> DataFrame:
+    """A repeatable sample of ``n`` cells: the smallest MD5 digests of id and seed (all when there are fewer)."""
+    return cells.orderBy(F.md5(F.concat_ws(":", F.col(id_).cast("string"), F.lit(str(seed))).cast("binary")), id_).limit(n)

@@ -14,25 +14,25 @@ from ..functions.lineage import materialize
 from .spatial import CASE
 
 
-def average_linkage(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def average_linkage(pairs: DataFrame) -> DataFrame:
     """Merges ``(case_id, left_leaves, right_leaves, dist, size)`` of ``pairs(case_id, a, b, d)``, one row per unordered pair.
 
     Of two children a leaf comes before a tree and a lower tree before a higher one;
-    leaves are ordered by label.
+    leaves are ordered by label. Every round merges at least the closest pair of each case.
     """
     pairs = materialize(pairs.select(CASE, "a", "b", F.col("d").alias("s"), F.lit(1).cast("bigint").alias("n")))
     names = pairs.select(CASE, F.col("a").alias("c")).union(pairs.select(CASE, F.col("b").alias("c"))).distinct()
     nodes = materialize(names.select(CASE, "c", F.lit(0.0).alias("height"), F.array("c").alias("leaves")))
     merges = None
-    for _ in range(max_rounds):
-        if pairs.isEmpty():
-            break
+    while not pairs.isEmpty():
         mean = F.col("s") / F.col("n")
         both = pairs.select(CASE, F.col("a").alias("c"), F.col("b").alias("o"), mean.alias("d")).unionByName(
             pairs.select(CASE, F.col("b").alias("c"), F.col("a").alias("o"), mean.alias("d")))
         near = both.groupBy(CASE, "c").agg(F.min(F.struct("d", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))).alias("p"))
         mutual = near.groupBy(CASE, "p").agg(F.count("*").alias("k")).filter("k = 2").select(CASE, F.col("p.lo").alias("a"), F.col("p.hi").alias("b"), F.col("p.d").alias("d"))
         mutual = materialize(mutual)
+        if mutual.isEmpty():
+            raise RuntimeError("no closest pair among the labels that are left; is a distance not a number?")
         left = nodes.select(CASE, F.col("c").alias("a"), F.col("height").alias("ha"), F.col("leaves").alias("la"))
         right = nodes.select(CASE, F.col("c").alias("b"), F.col("height").alias("hb"), F.col("leaves").alias("lb"))
         rows = mutual.join(left, [CASE, "a"]).join(right, [CASE, "b"])
@@ -50,8 +50,6 @@ def average_linkage(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
             pairs = pairs.join(r, [CASE, side], "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
         pairs = materialize(pairs.filter("a <> b").groupBy(CASE, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                             .agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-    else:
-        raise RuntimeError("linkage did not finish")
     if merges is None:
         raise ValueError("need at least two labels to build a tree")
     return merges

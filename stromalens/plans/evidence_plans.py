@@ -262,11 +262,11 @@ def case_review_text(spark, sf):
 
 
 CONSENSUS = """h AS (SELECT c_custkey AS cluster_id, c_mktsegment AS label_id, round((c_custkey % 100) / 100.0::DOUBLE, 2) AS confidence, c_nationkey AS nk FROM customer),
- m AS (SELECT c_custkey AS cluster_id, CASE WHEN c_nationkey < 8 THEN c_mktsegment ELSE 'tumor ' || lower(c_mktsegment) END AS label_id,
+ m AS (SELECT c_custkey AS cluster_id, c_custkey % 11 = 0 AS failed, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_nationkey < 8 THEN c_mktsegment ELSE 'tumor ' || lower(c_mktsegment) END AS label_id,
     abs(c_acctbal) / 10000 AS confidence FROM customer WHERE c_nationkey <> 3),
- d AS (SELECT h.cluster_id, h.label_id AS hl, h.confidence AS hc, m.label_id AS ml, m.confidence AS mc, m.cluster_id IS NOT NULL AND nk % 3 <> 0 AS marker_overlap
+ d AS (SELECT h.cluster_id, h.label_id AS hl, h.confidence AS hc, m.label_id AS ml, m.confidence AS mc, coalesce(m.failed, false) AS failed, m.cluster_id IS NOT NULL AND NOT m.failed AND nk % 3 <> 0 AS marker_overlap
    FROM h LEFT JOIN m USING (cluster_id)),
- reasons AS (SELECT *, CASE WHEN ml IS NULL THEN 'pathology_ai_unavailable' WHEN mc < 0.6 THEN 'pathology_ai_low_confidence' WHEN ml = hl THEN 'same_label'
+ reasons AS (SELECT *, CASE WHEN failed THEN 'pathology_ai_error' WHEN ml IS NULL THEN 'pathology_ai_unavailable' WHEN mc < 0.6 THEN 'pathology_ai_low_confidence' WHEN ml = hl THEN 'same_label'
    WHEN NOT marker_overlap THEN 'no_marker_overlap' WHEN hc < 0.65 THEN 'heuristic_low_confidence' WHEN mc - hc >= 0.15 THEN 'pathology_ai_confidence_margin'
    ELSE 'heuristic_retained' END AS reason FROM d),
  decided AS (SELECT *, reason IN ('same_label', 'heuristic_low_confidence', 'pathology_ai_confidence_margin') AS accepted FROM reasons)"""
@@ -277,7 +277,8 @@ def _consensus(spark, sf):
     h = c.select("cluster_id", F.col("c_mktsegment").alias("label_id"), F.round((F.col("cluster_id") % 100) / 100.0, 2).alias("confidence"))
     m = c.filter("c_nationkey <> 3").select(
         "cluster_id", F.when(F.col("c_nationkey") < 8, F.col("c_mktsegment")).otherwise(F.concat(F.lit("tumor "), F.lower("c_mktsegment"))).alias("label_id"),
-        (F.abs("c_acctbal") / 10000).alias("confidence"), F.array(F.concat(F.lit(" g"), (F.col("c_nationkey") % 3).cast("string")), F.lit("")).alias("supporting_markers"))
+        (F.abs("c_acctbal") / 10000).alias("confidence"), F.array(F.concat(F.lit(" g"), (F.col("c_nationkey") % 3).cast("string")), F.lit("")).alias("supporting_markers"),
+        F.when(F.col("cluster_id") % 11 == 0, "timeout").alias("error"))
     k = c.select("cluster_id", F.array(F.lit("G1"), F.lit("g2"), F.lit(" ")).alias("positive_genes"))
     return E.consensus_annotation(h, m, k)
 

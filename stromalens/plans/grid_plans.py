@@ -315,6 +315,6 @@ def stretch_to_byte(spark, sf):
     return G.stretch_to_byte(p, "r").select("patch_id", "px", "py", "r")
 
 
-@plan("preview_sample", f"WITH {CELLS} SELECT cell_id FROM cells QUALIFY count(*) OVER () <= 60000")
+@plan("preview_sample", f"WITH {CELLS} SELECT cell_id FROM cells ORDER BY md5(cell_id || ':42'), cell_id LIMIT 4000")
 def preview_sample(spark, sf):
-    return G.preview_sample(cells(spark, sf), "cell_id").select("cell_id")
+    return G.preview_sample(cells(spark, sf), "cell_id", 4000).select("cell_id")

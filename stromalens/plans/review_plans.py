@@ -204,9 +204,7 @@ def natural_label_sort(spark, sf):
     o = table(spark, sf, "orders")
     label = F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority"))
     d = o.select(label.alias("label")).distinct()
-    number = F.when(F.col("label").rlike("^[0-9]+$"), F.col("label").try_cast("decimal(38,0)"))
-    d = d.withColumn("_text", number.isNull()).withColumn("_number", number)
-    return dense_row_number(d, ["_text", "_number", "label"], "position").select("label", "position")
+    return dense_row_number(E.natural_label_keys(d, "label"), ["_text", "_number", "label"], "position").select("label", "position")
 
 
 @plan("id_sort", "SELECT id, row_number() OVER (ORDER BY length(id), id) AS position FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders)")

@@ -262,13 +262,16 @@ def normalize_model_payload(spark, sf):
 @plan("row_contract", f"""WITH {BUNDLES} SELECT evidence_id, concat_ws(',',
    CASE WHEN qc_status NOT IN ('ok', 'warning', 'fail') THEN 'qc_status:enum' END,
    CASE WHEN length(unit_id) < 2 THEN 'unit_id:min_length' END,
-   CASE WHEN value < 0 OR value > 180 THEN 'value:range' END) AS violations FROM bundles
-  WHERE qc_status NOT IN ('ok', 'warning', 'fail') OR length(unit_id) < 2 OR value > 180""")
+   CASE WHEN value < 0 OR value > 180 THEN 'value:range' END, CASE WHEN length(unit_id) = 3 THEN 'doc:extra_field' END) AS violations FROM bundles
+  WHERE qc_status NOT IN ('ok', 'warning', 'fail') OR length(unit_id) < 2 OR value > 180 OR length(unit_id) = 3""")
 def row_contract(spark, sf):
-    d = contracts.row_contract(bundles(spark, sf), [
+    extra = F.when(F.length("unit_id") == 3, "x")
+    doc = F.to_json(F.struct(F.lit("e").alias("evidence_id"), F.lit("cell").alias("unit"), extra.alias("guess")))
+    d = contracts.row_contract(bundles(spark, sf).withColumn("doc", doc), [
         contracts.one_of("qc_status", ["ok", "warning", "fail"]),
         contracts.min_length("unit_id", 2),
         contracts.in_range("value", 0.0, 180.0),
+        contracts.no_extra_fields("doc", contracts.EVIDENCE_FIELDS),
     ])
     return d.filter(F.size("violations") > 0).select("evidence_id", F.array_join("violations", ",").alias("violations"))
 

@@ -108,10 +108,12 @@ def json_objects(df: DataFrame, line: str, schema: str) -> DataFrame:
 
 
 def read_evidence_jsonl(spark: SparkSession, path: str, schema: str, max_records: int | None = None) -> DataFrame:
-    """JSON objects among the first ``max_records`` lines of one file (bad lines count)."""
+    """JSON objects among the first ``max_records`` lines (bad lines count), files in the order of their names."""
     lines = spark.read.text(path)
     if max_records is not None:
-        lines = lines.limit(max_records)
+        # ids rise along a split, and splits are told apart by where they start
+        placed = lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_line"))
+        lines = placed.orderBy("file_path", "file_block_start", "_line").limit(max_records).select("value")
     return json_objects(lines, "value", schema).select("record.*")
 
 

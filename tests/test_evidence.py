@@ -15,9 +15,10 @@ def test_mapping_to_structure(spark):
     assert (s.structure_id, s.top_reference_label, s.n_cells) == ("1", "tumor epithelial cell", 2)
 
 
-def test_missing_column_is_an_error(spark):
-    with pytest.raises(ValueError):
-        E.cell_mapping_to_clusters(spark.createDataFrame([(1,)], "cell_id int"))
+def test_missing_column_is_a_warning_and_no_rows(spark):
+    with pytest.warns(UserWarning, match="cluster_id/cluster column"):
+        got = E.cell_mapping_to_clusters(spark.createDataFrame([(1,)], "cell_id int"))
+    assert got.count() == 0 and "top_reference_label" in got.columns
 
 
 def test_label_ties_go_to_first_name(spark):
@@ -61,6 +62,8 @@ def test_consensus_rules(spark):
     m = spark.createDataFrame([(1, "caf", 0.86, ["CXCL12"]), (2, "caf", 0.95, ["ZZZ"]), (4, "caf", 0.9, ["cxcl12 "]), (5, "caf", 0.8, ["CXCL12"]), (6, "caf", 0.5, ["CXCL12"])],
                               "cluster_id int, label_id string, confidence double, supporting_markers array<string>")
     k = h.select("cluster_id", F.array(F.lit("CXCL12")).alias("positive_genes"))
+    failed = E.consensus_annotation(h, m.withColumn("error", F.when(F.col("cluster_id") == 1, "timeout")), k).filter("cluster_id = 1").first()
+    assert (failed.reason, failed.accepted, failed.label_id, failed.model_label_id) == ("pathology_ai_error", False, "fib", None)
     got = {r.cluster_id: (r.reason, r.accepted, r.label_id) for r in E.consensus_annotation(h, m, k).collect()}
     assert got == {1: ("heuristic_low_confidence", True, "caf"), 2: ("no_marker_overlap", False, "fib"), 3: ("pathology_ai_unavailable", False, "fib"),
                    4: ("pathology_ai_confidence_margin", True, "caf"), 5: ("heuristic_retained", False, "fib"), 6: ("pathology_ai_low_confidence", False, "fib")}
