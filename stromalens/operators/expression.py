@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..functions.lineage import materialize
 from .align import gene_set_join
 from . import tiles
-from .ranking import average_rank, exact_quantiles
+from .ranking import average_rank, exact_quantiles, ranks_of_counts
 from .spatial import CASE, with_case
 
 PSEUDOCOUNT = 0.05
@@ -129,17 +129,21 @@ def distance_expression_coupling(expression: DataFrame, distances: DataFrame) ->
 
     ``distances(cell_id, d)`` lists the cells in scope; a cell without a count has 0.
     Zeros all share one rank, so their part of every sum is known from the totals
-    and only the stored counts are ranked: nothing is filled in.
+    and only the stored counts are ranked: nothing is filled in. Every sum follows from how
+    often a gene has a count and from the distance ranks added up over those cells, so
+    ranks are never joined back to the single counts.
     """
     # both tables are read by several branches: ranks, totals and joins
     ranked = materialize(average_rank(materialize(distances.select("cell_id", "d")), [], "d", "rd"))
     whole = ranked.agg(F.count("*").cast("double").alias("n"), F.sum("rd").alias("sum_rd"),
                        F.sum(F.col("rd") * F.col("rd")).alias("sum_rd2"))
     counts = expression.groupBy("gene", "cell_id").agg(F.sum("n").alias("v")).filter("v <> 0")
-    pairs = average_rank(materialize(counts.join(ranked.select("cell_id", "rd"), "cell_id")), ["gene"], "v", "rv")
-    g = pairs.groupBy("gene").agg(F.count("*").alias("n_nonzero"), F.sum("v").alias("sum_v"), F.sum("rd").alias("nz_rd"),
-                                  F.sum("rv").alias("nz_rv"), F.sum(F.col("rv") * F.col("rv")).alias("nz_rv2"),
-                                  F.sum(F.col("rd") * F.col("rv")).alias("nz_rdrv"))
+    values = (counts.join(ranked.select("cell_id", "rd"), "cell_id").groupBy("gene", "v")
+              .agg(F.count("*").alias("k"), F.sum("rd").alias("rd")))
+    rv = F.col("rv")
+    g = ranks_of_counts(values, ["gene"], "v", "k", "rv").groupBy("gene").agg(
+        F.sum("k").alias("n_nonzero"), F.sum(F.col("v") * F.col("k")).alias("sum_v"), F.sum("rd").alias("nz_rd"), F.sum(rv * F.col("k")).alias("nz_rv"),
+        F.sum(rv * rv * F.col("k")).alias("nz_rv2"), F.sum(rv * F.col("rd")).alias("nz_rdrv"))
     total = whole.select(F.struct("n", "sum_rd", "sum_rd2")).scalar()
     n, sum_rd, sum_rd2 = total["n"], total["sum_rd"], total["sum_rd2"]
     z = n - F.col("n_nonzero")

@@ -47,21 +47,24 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return out if rank else out.drop(name)
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Average rank of ``value`` inside each key, ties sharing their mean rank.
+def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str, ties: str, name: str) -> DataFrame:
+    """``counts`` (one row per key and value, ``ties`` times each) with the mean rank of the value inside its key.
 
-    Equal values are counted first; the rank is the running total over the distinct
-    values minus the running total where the key begins.
+    The rank is the running total over the distinct values minus the running total where the
+    key begins.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
-    totals = running_total(counts, [*keys, value], F.col("_ties"), "_before")
-    first = totals.groupBy(*keys).agg(F.min("_before").alias("_first")) if keys else totals.agg(F.min("_before").alias("_first"))
+    totals = running_total(counts, [*keys, value], F.col(ties), "_before")
     if keys:
-        ranks = totals.join(first, list(keys))
+        totals = totals.join(totals.groupBy(*keys).agg(F.min("_before").alias("_first")), list(keys))
     else:
-        ranks = totals.withColumn("_first", F.lit(0))
-    ranks = ranks.select(*keys, value, (F.col("_before") - F.col("_first") + (F.col("_ties") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+        totals = totals.withColumn("_first", F.lit(0))
+    return totals.withColumn(name, F.col("_before") - F.col("_first") + (F.col(ties) + 1) / 2).drop("_before", "_first")
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Average rank of ``value`` inside each key, ties sharing their mean rank; equal values are counted first."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
+    return df.join(ranks_of_counts(counts, keys, value, "_ties", name).select(*keys, value, name), [*keys, value])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
