@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_RELEASED_AT_EXIT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder.
+    """This application's folder for intermediate tables, inside the cluster's checkpoint folder.
 
     Where the session names none, a session on one machine (tests, a laptop) gets a folder of
-    its own; on a cluster that would be a folder that the other machines do not see.
+    its own; on a cluster that would be a folder that the other machines do not see. The
+    folder goes with the driver, or earlier by ``release``.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None and not spark.sparkContext.master.startswith("local"):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    if current is None:
-        current = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current.rstrip("/")
+    if base is None:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    app = spark.sparkContext.applicationId
+    if app not in _RELEASED_AT_EXIT:
+        _RELEASED_AT_EXIT.add(app)
+        atexit.register(_at_exit, spark)
+    return f"{base.rstrip('/')}/run-{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        release(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:

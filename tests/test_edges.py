@@ -63,6 +63,15 @@ def test_reports_that_are_no_object_are_fatal(spark, report):
     assert got["qc_status"] == "fail" and got["fatal_errors"] == ["QC report is not a JSON object."]
 
 
+def test_intermediate_tables_can_be_released(spark):
+    import os
+    held = lineage.materialize(spark.range(3))
+    folder = lineage.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    assert held.count() == 3 and os.path.isdir(folder)
+    lineage.release(spark)
+    assert not os.path.exists(folder)
+
+
 def test_no_folder_of_our_own_on_a_cluster(spark):
     class Conf:
         def get(self, key, default=None):
