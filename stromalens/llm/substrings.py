@@ -6,7 +6,7 @@ of depth ``width`` or more start with the same words. The tree is never built wh
 
 1. Most suffixes repeat nowhere. Each window of ``width`` words is told by an anchor, the run of
    ``ANCHOR`` words in it with the smallest hash, so equal windows have equal anchors. Anchors are
-   an eighth of the words; only suffixes whose anchor occurs twice go on. What a task sees twice
+   a sixth of the words; only suffixes whose anchor occurs twice go on. What a task sees twice
    itself is settled there, so a passage in a third of all texts sends one row per task.
 2. The suffixes that are left are dealt out by ranges of their words. A range ends wherever it has
    its share of suffixes, so the prefixes that part two neighbouring ranges are as long as needed:
@@ -33,7 +33,7 @@ from ..functions.lineage import materialize
 from .shared import binaries, slices
 
 #: Words of an anchor, and words of a suffix that its sort key holds one by one.
-ANCHOR, LEAD = 6, 4
+ANCHOR, LEAD = 10, 4
 #: Bytes of text that a task looks at together.
 CHUNK_BYTES = 4 << 20
 _IS_SPACE = np.zeros(256, bool)
