@@ -83,7 +83,7 @@ class BytePairCoder:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[bytes, list[int]] = {}
-        self.memo = Memo(self._chunk, CHUNKS_KEPT)
+        self.memo = Memo(lambda chunks: [self._chunk(c) for c in chunks], CHUNKS_KEPT)
         self.cut_special = re.compile(b"(" + b"|".join(re.escape(x.encode()) for x in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self._library, self._path = None, path
 

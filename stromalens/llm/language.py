@@ -10,7 +10,6 @@ linear, prediction adds up one small vector per word, which workers remember.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,20 +28,28 @@ BUCKETS, DIM, SHORTEST, LONGEST = 1 << 13, 16, 1, 4
 SAMPLE_DOCS, MAX_LANGUAGES = 2000, 200
 #: Probability of the best language below which ``rejected`` is set.
 REJECT_BELOW = 0.5
-#: Letters of a word that count; in bytes, any byte of a character outside ASCII may be part of one.
+#: Runs of letters.
 _RUNS = re.compile(r"[^\W\d_]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the n-grams of each run of letters in a word, lower case, with its ends marked."""
-    out = []
-    for run in _RUNS.findall(word.lower()):
-        marked = f"<{run}>".encode()
-        chars = f"<{run}>"
-        if len(marked) == len(chars):
-            out += [zlib.crc32(marked[i:i + n]) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
-        else:
-            out += [zlib.crc32(chars[i:i + n].encode()) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(chars) - n + 1)]
+def ngrams(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the word and the bucket of every n-gram.
+
+    N-grams are bytes of the runs of letters in lower case, each run between ``<`` and ``>``;
+    none reaches into the next run.
+    """
+    marked = ["".join(f"<{r}>" for r in _RUNS.findall(w.decode("utf-8", "replace").lower())).encode() for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
+    stops = np.flatnonzero(data == ord(">"))
+    left = stops[np.searchsorted(stops, np.arange(len(data)))] - np.arange(len(data)) + 1 if len(stops) else np.zeros(0, np.int64)
+    out, h = [], np.zeros(len(data), np.uint64)
+    for n in range(1, LONGEST + 1):
+        h = h[:len(data) - n + 1] * np.uint64(257) + data[n - 1:]
+        if n >= SHORTEST:
+            whole = left[:len(h)] >= n
+            out.append((owner[:len(h)][whole], ((h[whole] * _MIX + np.uint64(n)) * _MIX >> np.uint64(40)).astype(np.int64) % BUCKETS))
     return out
 
 
@@ -55,13 +62,9 @@ class Model:
     temperature: float
 
 
-def _bag(words: list[str], memo: dict[str, list[int]]) -> np.ndarray:
-    for w in words:
-        if w not in memo:
-            memo[w] = word_features(w)
-    f = [b for w in words for b in memo[w]]
-    x = np.bincount(np.array(f, np.int64), minlength=BUCKETS).astype(np.float32)
-    return x / max(len(f), 1)
+def _bag(words: list[bytes]) -> np.ndarray:
+    x = sum(np.bincount(b, minlength=BUCKETS) for _, b in ngrams(words)).astype(np.float32)
+    return x / max(x.sum(), 1)
 
 
 def fit(texts: list[str], langs: list[str], least_steps: int = 1500, batch: int = 64, rate: float = 0.5, seed: int = 1) -> Model:
@@ -72,13 +75,12 @@ def fit(texts: list[str], langs: list[str], least_steps: int = 1500, batch: int
     rng = np.random.default_rng(seed)
     held = rng.random(len(texts)) < 0.15
     rows: dict[bool, list] = {False: [], True: []}
-    memo: dict[str, list[int]] = {}
     for text, lang, h in zip(texts, langs, held):
-        words = text.split()
+        words = text.encode().split()
         n = min(len(words), int(rng.integers(1, 13)))
         at = int(rng.integers(0, len(words) - n + 1)) if words else 0
         y = languages.index(lang)
-        rows[bool(h)] += [(_bag(words, memo), y), (_bag(words[at:at + n], memo), y)]
+        rows[bool(h)] += [(_bag(words), y), (_bag(words[at:at + n]), y)]
     pick = lambda part: (np.stack([x for x, _ in part]), np.array([y for _, y in part]))
     x, y = pick(rows[False] or rows[True])
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -139,11 +141,16 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo = Memo(self._word)
-
-    def _word(self, word: bytes) -> bytes:
-        f = word_features(word.decode("utf-8", "replace"))
-        return np.append(self.model.logits[f].sum(axis=0), len(f)).tobytes()
+        self.memo = Memo(self._words)
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        sums = np.zeros((len(words), len(self.model.languages) + 1))
+        for owner, bucket in ngrams(words):
+            if len(owner):
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                sums[owner[first], :-1] += np.add.reduceat(self.model.logits[bucket], first, axis=0)
+                sums[:, -1] += np.bincount(owner, minlength=len(words))
+        return [row.tobytes() for row in sums]
 
     def predict(self, text: bytes) -> tuple[str, float, bool]:
         m = self.model

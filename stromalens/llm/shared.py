@@ -52,7 +52,8 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
 class Memo:
     """Values of words, kept in a worker in two generations of bounded size."""
 
-    def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
+    def __init__(self, compute: Callable[[list], list], entries: int = MEMO_ENTRIES):
+        """``compute`` gives the values of several words at once."""
         self.compute, self.entries = compute, entries
         self.young: dict = {}
         self.old: dict = {}
@@ -61,14 +62,14 @@ class Memo:
         got = list(map(self.young.get, words))
         if None in got:
             young, old = self.young, self.old
-            for i, v in enumerate(got):
-                if v is None:
-                    w = words[i]
-                    v = young.get(w)
-                    if v is None:
-                        v = old.get(w)
-                        young[w] = v = self.compute(w) if v is None else v
-                    got[i] = v
+            missing = {w for w, v in zip(words, got) if v is None}
+            known = [(w, v) for w in missing if (v := old.get(w)) is not None]
+            young.update(known)
+            missing.difference_update(w for w, _ in known)
+            if missing:
+                new = list(missing)
+                young.update(zip(new, self.compute(new)))
+            got = list(map(young.__getitem__, words))
             if len(young) > self.entries:
                 self.young, self.old = {}, young
         return got
@@ -112,7 +113,7 @@ class LibraryTokens:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_word = all(spec[k] == v for k, v in _BY_WORD.items()) and not any(set(t) & set(" \t\n\v\f\r") for t in self.special)
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.memo = Memo(self._word)
+        self.memo = Memo(lambda words: [self._word(w) for w in words])
 
     def _whole(self, text: bytes) -> bytes:
         return np.asarray(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
