@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import shared_dir
 from ..operators import align, evidence as E, review as R
 from ..sources import files
 from .bindings import BUNDLES, bundles, table
@@ -257,10 +260,14 @@ def id_union(spark, sf):
     return out.distinct()
 
 
-@plan("file_inventory")
+@plan("file_inventory", """WITH f AS (SELECT string_agg(c_custkey || ' ' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY c_nationkey)
+  SELECT CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256, 'text/plain' AS media_type FROM f""")
 def file_inventory(spark, sf):
-    """Files of the table folder with size, hash and type (no SQL: DuckDB has no view of the files)."""
-    return files.file_inventory(spark, sf).select("name", "size_bytes", "sha256", "media_type")
+    """A text file per nation, with the customers in it, listed with size, hash and type."""
+    path = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
+    c = table(spark, sf, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select(F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value"), "c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return files.file_inventory(spark, path, glob="*.txt").select("size_bytes", "sha256", "media_type")
 
 
 @plan("distinct_paths", """SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS path FROM pages""")
