@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stromalens.llm import bpe, graph, html_text, language, packing, quality, queries, simhash, substrings, token_files, topk, urls
+from stromalens.llm import bpe, graph, html_text, language, near_copies, packing, quality, queries, simhash, substrings, token_files, topk, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -158,6 +158,43 @@ def test_heavy_blocks_lose_no_link(spark):
     assert {frozenset(map(signed, s)) for s in sets(want) if len(s) > 1} == sets(got)
 
 
+def test_pipeline_drops_near_copies_by_jaccard(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows, near, base = [], set(), [f"w{i}" for i in range(5000)]
+    for i in range(40):
+        text = r.choices(base, k=r.randint(120, 400))
+        rows.append((i, " ".join(text)))
+        for k, share in ((100, 0.015), (200, 0.08)):  # about 0.86 and 0.5 of the shingles alike
+            copy = list(text)
+            for at in r.sample(range(len(text)), max(1, int(share * len(text)))):
+                copy[at] = "other"
+            rows.append((i + k, " ".join(copy)))
+    passage = " ".join(r.choices(base, k=60))
+    rows += [(300 + i, passage + " " + " ".join(r.choices(base, k=60))) for i in range(40)]
+    rows += [(400 + i, " ".join([f"v{i}" if j == 90 else w for j, w in enumerate(base[:180])])) for i in range(60)] + [(500, ""), (501, None), (502, "one two"), (503, "One two ")]
+    sets = {i: {tuple(w[k:k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+                near.add(b)
+    want = {i for i in sets if top(i) == i}
+    assert len(near & set(range(100, 140))) > 30 and set(range(200, 240)) | set(range(300, 340)) <= want
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema), SF)
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(want)
+    assert near_copies.one_of_each(frame(spark, [])).count() == 0
+
+
 def test_packing(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
