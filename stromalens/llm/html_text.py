@@ -27,7 +27,7 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; all but the last two are not shown.
 RAW = frozenset("script style xmp noembed noframes iframe textarea title".split())
-UNSEEN = frozenset("head script style title template noembed noframes iframe datalist object audio video canvas svg math select noscript".split())
+UNSEEN = frozenset("head script style title template noembed noframes iframe datalist object audio video canvas noscript desc metadata defs".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody thead tfoot tr ul xmp""".split())
 #: Blocks that are set off by a blank line.
@@ -71,17 +71,17 @@ def _hides(tag: str, source: str) -> bool:
     if "hidden" not in low and "none" not in low and "collapse" not in low and tag not in ("dialog", "details"):
         return False
     a = attributes(source)
-    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or tag == "input" or bool(_HIDING.search(a.get("style", "")))
+    return "hidden" in a or tag == "input" and a.get("type", "").lower() == "hidden" or bool(_HIDING.search(a.get("style", "")))
 
 
 def parse(source: str) -> Node:
     """The tree of a page, with implied ends and table rows."""
     root = Node("html")
     stack = [root]
-    raw_end = None
-    for m in _TOKENS.finditer(source):
-        if raw_end is not None and m.start() < raw_end:
-            continue
+    at = 0
+    while at < len(source):
+        m = _TOKENS.match(source, at)
+        at = m.end()
         name = m.group(2)
         if name is None:
             text = m.group()
@@ -110,7 +110,7 @@ def parse(source: str) -> Node:
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(source, m.end())
             content = source[m.end():end.start() if end else len(source)]
-            raw_end = end.end() if end else len(source)
+            at = end.end() if end else len(source)  # a token may start inside and end beyond
             node.children.append(html.unescape(content) if tag in ("textarea", "title") else content)
         elif tag not in VOID and len(stack) < MAX_OPEN:
             stack.append(node)
@@ -328,6 +328,15 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
+def _beside_rows(node: Node) -> Iterator[str | Node]:
+    """What a table or a group of rows holds besides rows."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
+            yield child
+        elif child.tag not in ("tr", "col") and not child.hidden:
+            yield from _beside_rows(child)
+
+
 def _span(node: Node, name: str) -> int:
     if name not in node.attrs.lower():
         return 1
@@ -337,13 +346,13 @@ def _span(node: Node, name: str) -> int:
 
 def _table(node: Node, depth: int) -> list[str]:
     out: list[str] = []
-    for child in node.children:
+    for child in _beside_rows(node):
         if isinstance(child, str):
             if not child.isspace():
                 out.append(_SPACES.sub(" ", child).strip())
         elif child.tag == "caption" and not child.hidden:
             out += _lines(child.children, depth + 1)
-        elif child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col", "caption") and not child.hidden:
+        elif not child.hidden:
             out += _lines([child], depth + 1)
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # columns that a cell above still covers, and for how many rows

@@ -246,6 +246,17 @@ def test_html():
     assert show("<div>" * 3000 + "x") == "x" and "z" in show("<table><td>" * 700 + "z")
 
 
+def test_html_loses_no_visible_text():
+    show = html_text.visible_text
+    assert show('<script>var a="<!--";</script><p>text') == "text" and show("<title>a <!-- b</title><p>c<!-- d -->e") == "ce"
+    assert show("<style>x<y a='</style><p>it's") == "it's"
+    assert show("<table><tbody><form><tr><td>x</table>y") == "x\n\ny" and show("<table><tbody>text<tr><td>c</table>") == "text\nc"
+    assert show("<table><thead><tr><td>h<tbody><div>d</div><tr><td>c</table>") == "d\nh\nc" and show("<table><tbody hidden>no<tr><td>no</tbody><tr><td>c</table>") == "c"
+    assert show("a <b aria-hidden='true'>b</b> c<input class=hidden value=v><input type=hidden value=w>") == "a b cv"
+    assert show("<svg><title>no</title><text>s</text></svg> <math><mi>m</mi></math>") == "s m" and show("<select><option>o<option>p</select>") == "o\np"
+    assert show("a<i style='visibility:hidden'>no</i><canvas>no</canvas><template>no</template>") == "a"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (2, None, "t"), (3, "", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "a"), (1, "a"), (2, ""), (3, "")]
