@@ -301,6 +301,17 @@ def test_quality_rules(spark, docs):
     assert quality.judge(df.limit(0), trusted).count() == 0
 
 
+def test_quality_cut_follows_the_trusted_scores(spark):
+    r = random.Random(4)
+    clean, toxic = [f"c{i}" for i in range(60)], [f"t{i}" for i in range(60)]
+    text = lambda share: " ".join(r.choice(toxic if r.random() < share else clean) for _ in range(400))
+    rows = [(i, text(0)) for i in range(300)] + [(i, text(0.06)) for i in range(1000, 1030)]
+    verdicts = {x["doc_id"]: x for x in quality.judge(frame(spark, rows), spark.createDataFrame([(i,) for i in range(200)], "doc_id long")).collect()}
+    toxic_ones = [verdicts[i] for i in range(1000, 1030)]
+    assert sum(not x["kept"] for x in toxic_ones) >= 27 and sum(x["score"] > quality.THRESHOLD for x in toxic_ones) >= 15  # which a fixed cut keeps
+    assert sum(verdicts[i]["kept"] for i in range(200)) >= 198 and sum(verdicts[i]["kept"] for i in range(200, 300)) >= 95
+
+
 def slow_repeats(rows, width=20):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda x: x[0]):
