@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, packing, quality, simhash, substrings, token_files, topk, urls
+from . import alignment, bpe, html_text, language, packing, quality, simhash, substrings, token_files, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op8_repeated_passages(spark, sf_dir):
 @query("op6_html_text")
 def op6_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
