@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, html_text, language, packing, quality, simhash, substrings, token_files, topk, urls
+from . import alignment, bpe, html_text, language, packing, phrases, quality, simhash, substrings, token_files, topk, urls, vector_copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,13 @@ def op6_html_text(spark, sf_dir):
 @query("op13_token_alignment")
 def op13_token_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_vector_near_copies")
+def op12_vector_near_copies(spark, sf_dir):
+    return vector_copies.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_phrase_collocations")
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
