@@ -17,10 +17,13 @@ join, and each document refers to the list, so no pair is sent once per document
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import materialize
-from .bpe import coder
-from .shared import binaries, lists, slices
+from .bpe import _SETTLED, PIECES
+from .shared import binaries, byte_letters, slices
 
 #: Bytes of a chunk of a long text, of a block of documents, and children of a node of the tree.
-CHUNK_BYTES, BLOCK_BYTES, FAN = 1 << 16, 8 << 20, 8
+CHUNK_BYTES, BLOCK_BYTES, FAN = 1 << 16, 4 << 20, 8
 #: Remembered words of a worker.
-WORDS_KEPT = 250_000
-#: A word with the blanks before it. Neither tokenizer joins across the border before it.
-_WORD = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+WORDS_KEPT = 300_000
+#: A word with the blanks before it, or a part of one. Neither tokenizer joins across the border
+#: before a run of blanks, nor across that of letters with ASCII digits or signs, but for
+#: contractions; the last two cases take what is left.
+_WORD = re.compile(
+    rb"[ \t-\x0c]*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+(?![A-Za-z\x80-\xff_])"
+    rb"|[ \t-\x0c]*[!-@\[-^`{-~]+(?<!')(?![!-@\[-`{-~\x80-\xff])"
+    rb"|[ \t-\x0c]*[^ \t-\x0c]+|[ \t-\x0c]+")
 #: Carriage returns, which pieces join with others, and white space beyond ASCII: with them only
 #: the borders between visible ASCII and other blanks are sure.
 _ODD = re.compile(rb"[\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _SURE = re.compile(rb"(?<=[!-~])(?=[ \t-\x0c])")
+#: What no piece may hold for the above to be true of it.
+_JOINED = re.compile("[^▁]▁|.[\t-\x0c]|[\t-\x0c].|[A-Za-zÀ-ÖØ-öø-ÿ][!-@\\[-^`{-~]|[!-@\\[-^`{-~][A-Za-zÀ-ÖØ-öø-ÿ]")
 
 
 def _serialized(a: Iterable[int], b: Iterable[int]) -> bytes:
@@ -109,8 +119,8 @@ def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -
     common = sorted(set(a_ends) & set(b_ends))
     if not common:
         return Fragment(False, list(a), list(b))
-    a_at = np.searchsorted(a_ends, common, side="right").tolist()
-    b_at = np.searchsorted(b_ends, common, side="right").tolist()
+    a_at = [bisect_right(a_ends, e) for e in common]
+    b_at = [bisect_right(b_ends, e) for e in common]
     out = Fragment(True, list(a[:a_at[0]]), list(b[:b_at[0]]), a_tail=list(a[a_at[-1]:]), b_tail=list(b[b_at[-1]:]))
     for i in range(1, len(common)):
         out._close(a[a_at[i - 1]:a_at[i]], b[b_at[i - 1]:b_at[i]])
@@ -121,68 +131,97 @@ class TokenPair:
     """Two tokenizers over the same bytes: a byte-level vocabulary (A) and a piece model (B)."""
 
     def __init__(self, byte_level: str, pieces: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-
-        self.a = coder(byte_level)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        from sentencepiece import sentencepiece_model_pb2
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(byte_level)
+        self.pre, self.model = tok.pre_tokenizer, tok.model
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.a_size = [len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())]
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(pieces, "rb") as f:
+            spec.ParseFromString(f.read())
+        spec.normalizer_spec.add_dummy_prefix = False  # the blank is part of what is read
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        self.blank = names.index("▁")
-        # words may be read one by one if no piece holds a blank after other letters or joins tabs or line ends with others
-        self.by_word = not any("▁" in p.lstrip("▁") or len(p) > 1 and re.search("[\t-\x0c]", p) for p in names)
+        self.by_word = not any(_JOINED.search(p) for i, p in enumerate(names) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i))
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.texts: list[bytes] = []
-        self.counts: list[tuple[int, int, int, int, int]] = []
-        self.codes: list[list[int]] = []
+        #: per word: tokens of A and B, groups, links, whether the pieces fail to give its bytes
+        self.counts = [array("q") for _ in range(5)]
+        self.codes = array("q")
 
     def words(self, whole: bytes) -> list[bytes]:
         if not self.by_word:
             return [whole]
         return _SURE.split(whole) if _ODD.search(whole) else _WORD.findall(whole)
 
-    def tokens(self, word: bytes) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        """Ids and ends of both sides; None if the pieces do not give the bytes back."""
-        a = np.frombuffer(self.a._chunk(word), "<i4").tolist()
-        if word[:1] == b" ":
-            b = self.b.encode(word[1:].decode("utf-8", "replace")) if len(word) > 1 else [self.blank]
-        else:
-            b = self.b.encode(word.decode("utf-8", "replace"))
-            if b[:1] != [self.blank]:
-                return None
-            b = b[1:]
-        parts = [self.b_bytes[t] for t in b]
-        if b"".join(parts) != word:
-            return None
-        size = self.a.size
-        return a, np.cumsum([size[t] for t in a]).tolist(), b, np.cumsum([len(p) for p in parts]).tolist()
-
-    def _learn(self, word: bytes) -> int:
-        got = self.tokens(word)
-        if got is None:
-            self.texts.append(b"")
-            self.counts.append((0, 0, 0, 0, 1))
-            self.codes.append([])
+    def _a_ids(self, text: str) -> list[int]:
+        if _SETTLED.fullmatch(text):
+            cut = [p.encode().decode("latin-1").translate(self.letters) for p in PIECES.findall(text)]
         else:
-            whole = fragment(*got).finished()
-            codes = [code for code, n in whole.pairs.items() for _ in range(n)]
-            self.texts.append(b";".join(whole.groups))
-            self.counts.append((len(got[0]), len(got[2]), whole.n_groups, len(codes), 0))
-            self.codes.append(codes)
-        at = self.known[word] = len(self.texts) - 1
-        return at
+            cut = [p for p, _ in self.pre.pre_tokenize_str(text)]
+        return [t.id for p in cut for t in self.model.tokenize(p)]
+
+    def tokens(self, words: list[bytes]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Ids of both sides for each word; None where the pieces do not give its bytes back."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        for word, text, b in zip(words, texts, self.b.encode(texts, num_threads=1)):
+            yield (self._a_ids(text), b) if b"".join([self.b_bytes[t] for t in b]) == word else None
+
+    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        return list(accumulate([self.a_size[t] for t in a])), list(accumulate([len(self.b_bytes[t]) for t in b]))
+
+    def _learn(self, words: list[bytes]) -> None:
+        for word, got in zip(words, self.tokens(words)):
+            self.known[word] = len(self.texts)
+            if got is None:
+                row, text, codes = (0, 0, 0, 0, 1), b"", []
+            else:
+                a, b = got
+                text, codes, n = self._grouped(a, b)
+                row = (len(a), len(b), n, len(codes), 0)
+            self.texts.append(text)
+            for column, value in zip(self.counts, row):
+                column.append(value)
+            self.codes.extend(codes)
+
+    def _grouped(self, a: list[int], b: list[int]) -> tuple[bytes, list[int], int]:
+        """``fragment(…).finished()`` of a word as text, codes and number of groups, without objects in between."""
+        a_size, b_bytes, parts, codes = self.a_size, self.b_bytes, [], []
+        i = j = a_end = b_end = 0
+        while i < len(a):
+            i0, j0 = i, j
+            a_end += a_size[a[i]]
+            b_end += len(b_bytes[b[j]])
+            i, j = i + 1, j + 1
+            while a_end != b_end:
+                if a_end < b_end:
+                    a_end += a_size[a[i]]
+                    i += 1
+                else:
+                    b_end += len(b_bytes[b[j]])
+                    j += 1
+            if i - i0 == j - j0 == 1:
+                parts.append(f"{a[i0]}|{b[j0]}")
+                codes.append(a[i0] << 32 | b[j0])
+            else:
+                parts.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
+                codes += _codes(a[i0:i], b[j0:j])
+        return ";".join(parts).encode(), codes, len(parts)
 
     def numbers(self, words: list[bytes]) -> list[int]:
         """The place of each word in this worker's tables."""
         got = list(map(self.known.get, words))
         if None in got:
-            for i, n in enumerate(got):
-                if n is None:
-                    w = words[i]
-                    n = self.known.get(w)
-                    got[i] = self._learn(w) if n is None else n
+            self._learn(list({w for w, n in zip(words, got) if n is None}))
+            got = list(map(self.known.__getitem__, words))
         return got
 
     def forget(self) -> None:
@@ -193,14 +232,15 @@ class TokenPair:
     def ranged(self, whole: bytes, start: int, stop: int) -> Fragment | None:
         """The fragment of the tokens that end in (start, stop] of ``whole``, which starts and ends between words."""
         a, a_ends, b, b_ends, at = [], [], [], [], 0
-        for word in self.words(whole):
-            got = self.tokens(word)
+        words = self.words(whole)
+        for word, got in zip(words, self.tokens(words)):
             if got is None:
                 return None
+            a_at, b_at = self.ends(*got)
             a += got[0]
-            a_ends += [at + e for e in got[1]]
-            b += got[2]
-            b_ends += [at + e for e in got[3]]
+            a_ends += [at + e for e in a_at]
+            b += got[1]
+            b_ends += [at + e for e in b_at]
             at += len(word)
         i, j = np.searchsorted(a_ends, [start, stop], side="right").tolist()
         k, n = np.searchsorted(b_ends, [start, stop], side="right").tolist()
@@ -260,21 +300,19 @@ def _short(docs: DataFrame, byte_level: str, pieces: str, chunk: int, block_byte
                     sizes.append(len(got))
                     groups.append(got)
                 places, sizes = np.array(places, np.int64), np.array(sizes, np.int64)
-                counts = np.array(pair.counts, np.int64).reshape(-1, 5)
+                counts = [np.array(c, np.int64) for c in pair.counts]
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                per_doc = np.stack([np.bincount(owner, counts[places, k], len(sizes)) for k in range(5)]).astype(np.int64)
+                per_doc = np.stack([np.bincount(owner, c[places], len(sizes)) for c in counts]).astype(np.int64)
                 bad = per_doc[4] > 0
                 per_doc[:, bad] = 0
                 texts = pair.texts
                 digests = ["" if b or not g else hashlib.sha256(b";".join([texts[i] for i in g])).hexdigest() for b, g in zip(bad.tolist(), groups)]
                 used = places[~bad[owner]]
-                seen, back = np.unique(used, return_inverse=True)
-                code_lists = [pair.codes[i] for i in seen.tolist()]
-                lengths = np.array([len(c) for c in code_lists], np.int64)
-                values, dense = np.unique(np.array([c for cs in code_lists for c in cs], np.int64), return_inverse=True)
-                starts = np.cumsum(lengths) - lengths
-                n = lengths[back]
-                gathered = dense[np.repeat(starts[back] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
+                # the pair codes of all words used, numbered densely
+                values, dense = np.unique(np.array(pair.codes, np.int64), return_inverse=True)
+                n = counts[3][used]
+                last = np.cumsum(counts[3])[used]
+                gathered = dense[np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())] if len(values) else np.zeros(0, np.int64)
                 joint = np.repeat(owner[~bad[owner]], n) * max(len(values), 1) + gathered
                 joint, times = np.unique(joint, return_counts=True)
                 yield _block(next(ids), part.column(0), per_doc[:4], digests, joint // max(len(values), 1), values[joint % max(len(values), 1)] if len(values) else joint, times)
