@@ -11,9 +11,10 @@ A second fingerprint modulo a prime travels along. Where one fingerprint came wi
 them, or a pointer leads to other words, the fingerprint is in doubt, and all its occurrences
 are read again and counted by their text.
 
-Longer phrases are counted only where both phrases one word shorter are frequent, as they
-cannot be frequent otherwise. Which ones are is told by a bit set of fixed size, in which an
-unfortunate bit costs a row and never a result.
+Short runs are first counted by fingerprint alone, as most occur once; pointers and second
+fingerprints are sent only of those that are frequent. Longer runs are counted where both runs one
+word shorter are frequent, as they cannot be frequent otherwise. Which ones are is told by a bit
+set of fixed size, in which an unfortunate bit costs a row and never a result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from ..functions.lineage import materialize
 from .shared import binaries, slices
 
 #: Bytes of text laid end to end, and of a part of a longer text.
-BLOCK_BYTES, PART_BYTES = 1_900_000, 1 << 20
+BLOCK_BYTES, PART_BYTES = 1_000_000, 900_000
 #: Bits of the broadcast set (8 MB), dealt out in pieces.
 SET_BITS, PIECE_BITS = 1 << 26, 1 << 15
 _LETTERS, _BLANK, _BREAK = 0, 1, 2
@@ -207,33 +208,51 @@ def _bit_set(prints: DataFrame) -> np.ndarray:
     return set_
 
 
-def _counted(docs: DataFrame, sizes: list[int], longest: int, shorter, bits: int, part_bytes: int) -> DataFrame:
-    """size, print, n, low and high (second fingerprint), key and at of the runs of the given sizes.
+def _every_word(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of size 0, which are the words: one fingerprint per language."""
+    first = np.flatnonzero(runs.mine)
+    print_ = _mix(runs.seed[first])
+    return first, print_ & np.uint64((1 << runs.bits) - 1), np.zeros(len(first), np.uint64)
 
-    Size 0 stands for all words of a language. ``shorter`` holds the frequent runs of one
-    word less, or is None.
+
+def _prints(docs: DataFrame, sizes: list[int], longest: int, bits: int, part_bytes: int) -> DataFrame:
+    """print and n of all runs of the given sizes, the lightest rows that can be counted."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, _, _ in _read(batches, longest, bits, part_bytes):
+            all_prints = np.concatenate([runs.runs(k)[1] if k else _every_word(runs)[1] for k in sizes])
+            print_, n = np.unique(all_prints, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(n)], ["print", "n"])
+
+    return docs.select("lang", "text").mapInArrow(rows, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+
+
+def _counted(docs: DataFrame, sizes: list[int], longest: int, known, bits: int, part_bytes: int) -> DataFrame:
+    """size, print, n, low and high (second fingerprint), key and at of runs that may be frequent.
+
+    ``known`` is the set of the frequent fingerprints up to the size before the last. A run of
+    these sizes is counted if it is in the set, one of the last size if both runs of a word less are.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, piece, _ in _read(batches, longest, bits, part_bytes):
             keys = np.asarray(piece.column(piece.schema.get_field_index("key")), np.int64)
+            hit = None
             for size in sizes:
-                if size:
-                    first, print_, check = runs.runs(size)
-                    if shorter is not None and len(first):
-                        at, short, _ = runs.runs(size - 1)
-                        known = np.zeros(len(runs.start) + 1, bool)
-                        known[at] = _hits(shorter.value, short)
-                        # the second half of the last run of a part starts in the next part: taken as known
-                        keep = known[first] & (known[first + 1] | ~runs.mine[first + 1])
-                        first, print_, check = first[keep], print_[keep], check[keep]
+                first, print_, check = runs.runs(size) if size else _every_word(runs)
+                if size < sizes[-1] or size < 2:
+                    keep = _hits(known.value, print_)
+                    hit = np.zeros(len(runs.start) + 1, bool)
+                    hit[first[keep]] = True
                 else:
-                    first = np.flatnonzero(runs.mine)
-                    print_, check = _mix(runs.seed[first]), np.zeros(len(first), np.uint64)
-                    if bits < 64:
-                        print_ = print_ & np.uint64((1 << bits) - 1)
+                    if hit is None:
+                        at, short, _ = runs.runs(size - 1)
+                        hit = np.zeros(len(runs.start) + 1, bool)
+                        hit[at] = _hits(known.value, short)
+                    # the second half of the last run of a part starts in the next part: taken as known
+                    keep = hit[first] & (hit[first + 1] | ~runs.mine[np.minimum(first + 1, len(runs.mine) - 1)])
+                first, print_, check = first[keep], print_[keep], check[keep]
                 if not len(first):
                     continue
-                both, back, n = _distinct(print_, check)
+                both, n = _distinct(print_, check)
                 f = first[both]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(f), size, np.int32)), pa.array(print_[both].view(np.int64)), pa.array(n), pa.array(check[both].astype(np.int64)), pa.array(check[both].astype(np.int64)),
@@ -244,13 +263,13 @@ def _counted(docs: DataFrame, sizes: list[int], longest: int, shorter, bits: int
     return found.groupBy("size", "print").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("key").alias("key"), F.first("at").alias("at"))
 
 
-def _distinct(print_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, None, np.ndarray]:
+def _distinct(print_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct pair of fingerprints, and how often it occurs."""
     order = np.argsort(print_, kind="stable")
     p, c = print_[order], check[order]
     head = np.append(True, (p[1:] != p[:-1]) | (c[1:] != c[:-1]))
     at = np.flatnonzero(head)
-    return order[at], None, np.diff(np.append(at, len(p)))
+    return order[at], np.diff(np.append(at, len(p)))
 
 
 def _read_back(docs: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
@@ -301,11 +320,7 @@ def _recounted(docs: DataFrame, doubtful: DataFrame, longest: int, bits: int, pa
         for runs, piece, texts in _read(batches, longest, bits, part_bytes):
             langs = piece.column(piece.schema.get_field_index("lang")).to_pylist()
             for size in range(longest + 1):
-                if size:
-                    first, print_, _ = runs.runs(size)
-                else:
-                    first = np.flatnonzero(runs.mine)
-                    print_ = _mix(runs.seed[first]) & np.uint64((1 << bits) - 1)
+                first, print_, _ = runs.runs(size) if size else _every_word(runs)
                 hit = _hits(chosen.value, print_)
                 first, print_ = first[hit], print_[hit]
                 counts: dict[tuple, int] = {}
@@ -333,13 +348,15 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: i
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("lang", "text"))
-    first = min(2, longest)
-    frequent = materialize(_counted(docs, list(range(first + 1)), longest, None, bits, part_bytes).where(F.col("n") >= least))
-    tables = [frequent]
-    for size in range(first + 1, longest + 1):
-        shorter = spark.sparkContext.broadcast(_bit_set(tables[-1].where(F.col("size") == size - 1)))
-        tables.append(materialize(_counted(docs, [size], longest, shorter, bits, part_bytes).where(F.col("n") >= least)))
-        frequent = frequent.unionByName(tables[-1])
+    short = min(2, longest)
+    held = _prints(docs, list(range(short + 1)), longest, bits, part_bytes).where(F.col("n") >= least).select("print")
+    known = spark.sparkContext.broadcast(_bit_set(materialize(held)))
+    frequent = materialize(_counted(docs, list(range(min(short + 1, longest) + 1)), longest, known, bits, part_bytes).where(F.col("n") >= least))
+    last = frequent
+    for size in range(short + 2, longest + 1):
+        known = spark.sparkContext.broadcast(_bit_set(last.where(F.col("size") == size - 1)))
+        last = materialize(_counted(docs, [size], longest, known, bits, part_bytes).where(F.col("n") >= least))
+        frequent = frequent.unionByName(last)
     told = materialize(_read_back(docs, frequent, bits))
     doubtful = told.where(~F.col("sure"))
     sure = told.where("sure").select("lang", "size", "phrase", "n")
