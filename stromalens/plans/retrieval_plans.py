@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.lineage import materialize, shared_dir, spread
 from ..operators import retrieval as V, spatial as P, tree as Y
 from ..streaming import streams
-from .bindings import BUNDLES, bundles, cells, table
+from .bindings import BUNDLES, bundle_columns, bundles, cells, table
 from .registry import plan
-from .review_plans import corrections
+from .review_plans import correction_columns, corrections
 from .spatial_plans import MATRIX
 
 
@@ -196,38 +196,82 @@ def qc_windows(spark, sf):
     return d.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "source", "total_bundles", "passed", "warned", "failed")
 
 
+def _scratch(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Micro-batches that the events arrive in, and by how many days every eleventh of them is late.
+ARRIVAL_BATCHES, DAYS_LATE = 8, 12
+#: arrivals: events with the number of the file they come in, out of order by event time.
+ARRIVALS = f"""seen AS (SELECT *, epoch_ms(ts) + CASE WHEN event_id % 11 = 0 THEN {DAYS_LATE} * 86400000 ELSE 0 END AS came FROM events),
+ reach AS (SELECT min(came) AS low, max(came) AS high FROM seen),
+ arrivals AS (SELECT seen.* EXCLUDE (came), CAST({ARRIVAL_BATCHES} * (came - low) // (high - low + 1) AS INTEGER) AS batch FROM seen, reach)"""
+
+
+def _arrivals(spark, sf):
+    e = table(spark, sf, "events")
+    came = e.withColumn("came", F.unix_millis(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 11 == 0, DAYS_LATE * 86400000).otherwise(0))
+    reach = came.agg(F.struct(F.min("came").alias("low"), F.max("came").alias("high"))).scalar()
+    return came.withColumn("batch", F.floor(ARRIVAL_BATCHES * (F.col("came") - reach["low"]) / (reach["high"] - reach["low"] + 1)).cast("int")).drop("came")
+
+
 def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """Events as a stream of files, one per micro-batch in the order of arrival."""
+    rows, folder = materialize(_arrivals(spark, sf)), _scratch(spark, "arrivals")
+    for i in range(ARRIVAL_BATCHES):
+        rows.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _scratch(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: The watermark that drops rows of a batch: an hour behind the latest event time two batches ago and before.
+CLOSED = f"""{ARRIVALS}, days AS (SELECT date_trunc('day', ts) AS day, event_type AS source, value, batch, ts FROM arrivals),
+ tops AS (SELECT b.i AS batch, max(ts) FILTER (arrivals.batch <= b.i - 2) - INTERVAL 1 HOUR AS mark FROM arrivals, range({ARRIVAL_BATCHES + 2}) b(i) GROUP BY 1),
+ kept AS (SELECT days.*, mark IS NOT NULL AND day + INTERVAL 1 DAY <= mark AS late FROM days JOIN tops USING (batch)),
+ final AS (SELECT max(mark) AS mark FROM tops)"""
 
 
-@plan("stream_qc_windows", f"""WITH {BUNDLES}, top AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM bundles)
-  SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, source, count(*) AS total_bundles, count(*) FILTER (qc_status = 'fail') AS failed FROM bundles, top
-  GROUP BY 1, 2 HAVING max(date_trunc('day', ts) + INTERVAL 1 DAY) <= any_value(w)""")
+@plan("stream_qc_windows", f"""WITH {CLOSED} SELECT day::DATE::VARCHAR AS day, source, count(*) AS total_bundles, count(*) FILTER (value >= 80 AND value < 200) AS failed
+  FROM kept, final WHERE NOT late AND day + INTERVAL 1 DAY <= final.mark GROUP BY 1, 2""")
 def stream_qc_windows(spark, sf):
-    """The same counts from a stream: windows closed by the watermark."""
-    from .bindings import bundle_columns
-    out = _scratch(spark, "qc")
-    streams.append_to(streams.qc_windows(bundle_columns(_event_stream(spark, sf))), f"{out}/table", f"{out}/state").awaitTermination()
-    d = spark.read.parquet(f"{out}/table")
+    """Windows closed by the watermark over eight micro-batches out of order; what comes after is dropped."""
+    d = spark.read.parquet(_closed_windows(spark, sf))
     return d.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "source", "total_bundles", "failed")
 
 
-@plan("stream_finetuning_trigger", """SELECT CAST(user_id AS VARCHAR) AS case_id, count(*) FILTER (event_type = 'signup') AS flagged, true AS triggered FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') >= 14""")
+def _closed_windows(spark, sf):
+    out = _scratch(spark, "qc")
+    with streams.rocksdb_state(spark):
+        query = streams.append_to(streams.qc_windows(bundle_columns(_event_stream(spark, sf))), f"{out}/table", f"{out}/state")
+    query.awaitTermination()
+    return f"{out}/table"
+
+
+@plan("stream_late_rows", f"""WITH {CLOSED} SELECT day::DATE::VARCHAR AS day, source, count(*) FILTER (late) AS late_rows FROM kept, final WHERE day + INTERVAL 1 DAY <= final.mark GROUP BY 1, 2""")
+def stream_late_rows(spark, sf):
+    """How many rows came too late for each closed window."""
+    closed = spark.read.parquet(_closed_windows(spark, sf))
+    d = streams.late_rows(bundle_columns(_arrivals(spark, sf).drop("batch")), closed)
+    return d.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "source", "late_rows")
+
+
+@plan("stream_finetuning_trigger", f"""WITH {ARRIVALS}, flags AS (SELECT CAST(user_id AS VARCHAR) AS case_id, CAST(event_id AS VARCHAR) AS correction_id, ts,
+   row_number() OVER (PARTITION BY user_id ORDER BY batch, ts, CAST(event_id AS VARCHAR)) AS n FROM arrivals WHERE event_type = 'signup')
+  SELECT case_id, correction_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS fired_at, CAST(14 AS BIGINT) AS threshold FROM flags WHERE n = 14""")
 def stream_finetuning_trigger(spark, sf):
-    from .review_plans import correction_columns
+    """One row per case, at the flag that reaches the threshold, over eight micro-batches."""
     out = _scratch(spark, "flags")
-    streams.log_triggers(streams.finetuning_counts(correction_columns(_event_stream(spark, sf)), 14), f"{out}/log", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/log").groupBy("case_id").agg(F.max("flagged").alias("flagged"), F.max("triggered").alias("triggered"))
+    with streams.rocksdb_state(spark):
+        query = streams.log_batches(streams.fire_once(correction_columns(_event_stream(spark, sf)), 14), f"{out}/log", f"{out}/state")
+    query.awaitTermination()
+    d = spark.read.parquet(f"{out}/log")
+    return d.select("case_id", "correction_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("fired_at"), "threshold")
 
 
-@plan("stream_upsert", """SELECT CAST(user_id AS VARCHAR) AS point_id, max(event_id) AS version, arg_max(event_type, event_id) AS text FROM events GROUP BY 1""")
+@plan("stream_upsert", f"""WITH {ARRIVALS} SELECT CAST(user_id AS VARCHAR) AS point_id, max(event_id % 97) AS version,
+   arg_max(event_type, (event_id % 97, batch, event_type)) AS text FROM arrivals GROUP BY 1""")
 def stream_upsert(spark, sf):
+    """The last version of each point, merged bucket by bucket over eight micro-batches."""
     out = _scratch(spark, "points")
-    rows = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("point_id"), F.col("event_id").alias("version"), F.col("event_type").alias("text"))
-    streams.log_upserts(rows, f"{out}/log", f"{out}/state").awaitTermination()
-    return streams.current_points(spark, f"{out}/log")
+    rows = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("point_id"), (F.col("event_id") % 97).alias("version"), F.col("event_type").alias("text"))
+    streams.merge_upserts(rows, f"{out}/table", f"{out}/state", buckets=16).awaitTermination()
+    return streams.merged_points(spark, f"{out}/table")
