@@ -3,18 +3,17 @@
 Texts are laid end to end in numpy arrays. Prefix sums of letters times powers of a base give
 the hash of every word at once, prefix sums of word hashes that of every run of words, all
 modulo 2**64. Equal fingerprints are counted, first inside a task, then across a shuffle,
-where a row is a fingerprint, its count, and a pointer to one occurrence: a text's key and a
-byte offset. Only fingerprints counted often enough are followed back to the text and
-become phrases.
-
-A second fingerprint modulo a prime travels along. Where one fingerprint came with two of
-them, or a pointer leads to other words, the fingerprint is in doubt, and all its occurrences
-are read again and counted by their text.
-
-Short runs are first counted by fingerprint alone, as most occur once; pointers and second
-fingerprints are sent only of those that are frequent. Longer runs are counted where both runs one
-word shorter are frequent, as they cannot be frequent otherwise. Which ones are is told by a bit
-set of fixed size, in which an unfortunate bit costs a row and never a result.
+where a row is two fingerprints, a count, and a pointer to one occurrence: the number of a
+row and a byte offset. Only what is counted often enough is followed back to the text
+and becomes a phrase.
+
+The second fingerprint, modulo a prime, tells apart what shares the first. A pointer must
+lead to words with both fingerprints. Where it does not, because the rows were dealt out
+anew in between, all runs with that fingerprint are read again and counted by their text.
+
+Longer runs are counted where both runs one word shorter are frequent, as they cannot be
+frequent otherwise. Which ones are is told by a bit set of fixed size, in which an
+unfortunate bit costs a row and never a result.
 """
 
 from __future__ import annotations
@@ -169,7 +168,7 @@ def _read(batches: Iterator[pa.RecordBatch], longest: int, bits: int, part_bytes
             yield Runs(held, seed, bits), piece, texts
 
 
-COUNT_SCHEMA = "size int, print long, n long, low long, high long, key long, at long"
+COUNT_SCHEMA = "print long, check int, n long, row long, place long"
 
 
 def _hits(bits: np.ndarray, print_: np.ndarray) -> np.ndarray:
@@ -215,67 +214,48 @@ def _every_word(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, print_ & np.uint64((1 << runs.bits) - 1), np.zeros(len(first), np.uint64)
 
 
-def _prints(docs: DataFrame, sizes: list[int], longest: int, bits: int, part_bytes: int) -> DataFrame:
-    """print and n of all runs of the given sizes, the lightest rows that can be counted."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs, _, _ in _read(batches, longest, bits, part_bytes):
-            all_prints = np.concatenate([runs.runs(k)[1] if k else _every_word(runs)[1] for k in sizes])
-            print_, n = np.unique(all_prints, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(n)], ["print", "n"])
-
-    return docs.select("lang", "text").mapInArrow(rows, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
-
-
-def _counted(docs: DataFrame, sizes: list[int], longest: int, known, bits: int, part_bytes: int) -> DataFrame:
-    """size, print, n, low and high (second fingerprint), key and at of runs that may be frequent.
+def _counted(docs: DataFrame, sizes: list[int], longest: int, shorter, bits: int, part_bytes: int) -> DataFrame:
+    """print, check (second fingerprint), n, and row and place of one occurrence, of the runs of the given sizes.
 
-    ``known`` is the set of the frequent fingerprints up to the size before the last. A run of
-    these sizes is counted if it is in the set, one of the last size if both runs of a word less are.
+    ``place`` is the byte offset times eight and the size. ``shorter`` is the set of the frequent
+    runs of one word less, of which a longer run must hold two, or None.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, piece, _ in _read(batches, longest, bits, part_bytes):
-            keys = np.asarray(piece.column(piece.schema.get_field_index("key")), np.int64)
-            hit = None
+            row = np.asarray(piece.column(piece.schema.get_field_index("row")), np.int64)
             for size in sizes:
                 first, print_, check = runs.runs(size) if size else _every_word(runs)
-                if size < sizes[-1] or size < 2:
-                    keep = _hits(known.value, print_)
+                if shorter is not None and len(first):
+                    at, short, _ = runs.runs(size - 1)
                     hit = np.zeros(len(runs.start) + 1, bool)
-                    hit[first[keep]] = True
-                else:
-                    if hit is None:
-                        at, short, _ = runs.runs(size - 1)
-                        hit = np.zeros(len(runs.start) + 1, bool)
-                        hit[at] = _hits(known.value, short)
+                    hit[at] = _hits(shorter.value, short)
                     # the second half of the last run of a part starts in the next part: taken as known
-                    keep = hit[first] & (hit[first + 1] | ~runs.mine[np.minimum(first + 1, len(runs.mine) - 1)])
-                first, print_, check = first[keep], print_[keep], check[keep]
+                    keep = hit[first] & (hit[first + 1] | ~runs.mine[first + 1])
+                    first, print_, check = first[keep], print_[keep], check[keep]
                 if not len(first):
                     continue
                 both, n = _distinct(print_, check)
                 f = first[both]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(f), size, np.int32)), pa.array(print_[both].view(np.int64)), pa.array(n), pa.array(check[both].astype(np.int64)), pa.array(check[both].astype(np.int64)),
-                    pa.array(keys[runs.text[f]]), pa.array(runs.at[f])], ["size", "print", "n", "low", "high", "key", "at"])
+                    pa.array(print_[both].view(np.int64)), pa.array(check[both].astype(np.int32)), pa.array(n), pa.array(row[runs.text[f]]), pa.array(runs.at[f] * 8 + size)],
+                    ["print", "check", "n", "row", "place"])
 
-    found = docs.select("lang", "key", "text").mapInArrow(rows, COUNT_SCHEMA)
-    # one row's pointer: both parts are taken in step
-    return found.groupBy("size", "print").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("key").alias("key"), F.first("at").alias("at"))
+    found = docs.select("lang", "row", "text").mapInArrow(rows, COUNT_SCHEMA)
+    # both parts of a pointer are taken in step, from one row
+    return found.groupBy("print", "check").agg(F.sum("n").alias("n"), F.first("row").alias("row"), F.first("place").alias("place"))
 
 
 def _distinct(print_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct pair of fingerprints, and how often it occurs."""
-    order = np.argsort(print_, kind="stable")
+    order = np.lexsort((check, print_))
     p, c = print_[order], check[order]
-    head = np.append(True, (p[1:] != p[:-1]) | (c[1:] != c[:-1]))
-    at = np.flatnonzero(head)
+    at = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])))
     return order[at], np.diff(np.append(at, len(p)))
 
 
 def _read_back(docs: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
     """lang, size, phrase, n, print and sure of each frequent fingerprint, by its pointer."""
-    wanted = frequent.groupBy("key").agg(F.collect_list(F.struct("at", "size", "n", "print", (F.col("low") == F.col("high")).alias("alike"))).alias("found"))
-    texts = docs.select("key", "lang", "text").dropDuplicates(["key"])
+    wanted = frequent.groupBy("row").agg(F.collect_list(F.struct("place", "n", "print", "check")).alias("found"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,30 +264,31 @@ def _read_back(docs: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
                 for lang, text, found in zip(piece.column(0).to_pylist(), binaries(piece, "text"), piece.column(2).to_pylist()):
                     lowered = text.translate(_UPPER_TABLE)
                     for f in found:
-                        words, at = [], f["at"]
-                        for _ in range(f["size"]):
+                        at, size = divmod(f["place"], 8)
+                        words = []
+                        for _ in range(size):
                             m = _WORD.search(lowered, at)
                             words.append(m[0] if m else b"")
                             at = m.end() if m else at
-                        out.append((lang, f["size"], b" ".join(words), f["n"], f["print"], f["alike"]))
+                        out.append((lang, size, b" ".join(words), f["n"], f["print"], f["check"]))
                 if not out:
                     continue
-                lang, size, phrase, n, print_, alike = zip(*out)
-                again = np.zeros(len(out), np.int64)
+                lang, size, phrase, n, print_, check = zip(*out)
+                again = np.zeros((2, len(out)), np.int64)
                 for k in set(size):
-                    mine = [i for i, s in enumerate(size) if s == k]
+                    mine = np.array([i for i, s in enumerate(size) if s == k])
                     seeds = np.array([_seed(lang[i]) for i in mine], np.uint64)
                     if k:
-                        runs = Runs([(at, 0, len(phrase[i]), phrase[i]) for at, i in enumerate(mine)], seeds, bits)
-                        first, values, _ = runs.runs(k)
-                        again[np.array(mine)[runs.text[first]]] = values.view(np.int64)
+                        runs = Runs([(j, 0, len(phrase[i]), phrase[i]) for j, i in enumerate(mine)], seeds, bits)
+                        first, values, checks = runs.runs(k)
+                        again[:, mine[runs.text[first]]] = values.view(np.int64), checks.view(np.int64)
                     else:
-                        again[mine] = (_mix(seeds) & np.uint64((1 << bits) - 1)).view(np.int64)
-                sure = np.array(alike) & (again == np.array(print_, np.int64))
+                        again[0, mine] = (_mix(seeds) & np.uint64((1 << bits) - 1)).view(np.int64)
+                sure = (again == np.array([print_, check], np.int64)).all(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64()), pa.array(print_, pa.int64()), pa.array(sure)],
                                                  ["lang", "size", "phrase", "n", "print", "sure"])
 
-    joined = texts.join(wanted, "key").select("lang", "text", "found")
+    joined = docs.join(wanted, "row", "right").select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), "found")
     return joined.mapInArrow(rows, "lang string, size int, phrase binary, n long, print long, sure boolean")
 
 
@@ -334,7 +315,7 @@ def _recounted(docs: DataFrame, doubtful: DataFrame, longest: int, bits: int, pa
                     yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([size] * len(lang), pa.int32()), pa.array(phrase, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array(print_, pa.int64())],
                                                      ["lang", "size", "phrase", "n", "print"])
 
-    found = docs.select("lang", "key", "text").mapInArrow(rows, "lang string, size int, phrase binary, n long, print long")
+    found = docs.select("lang", "text").mapInArrow(rows, "lang string, size int, phrase binary, n long, print long")
     found = found.join(doubtful.select("size", "print").distinct(), ["size", "print"], "left_semi")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
@@ -347,15 +328,13 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: i
     rows count as often as they come.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("lang", "text"))
-    short = min(2, longest)
-    held = _prints(docs, list(range(short + 1)), longest, bits, part_bytes).where(F.col("n") >= least).select("print")
-    known = spark.sparkContext.broadcast(_bit_set(materialize(held)))
-    frequent = materialize(_counted(docs, list(range(min(short + 1, longest) + 1)), longest, known, bits, part_bytes).where(F.col("n") >= least))
-    last = frequent
-    for size in range(short + 2, longest + 1):
-        known = spark.sparkContext.broadcast(_bit_set(last.where(F.col("size") == size - 1)))
-        last = materialize(_counted(docs, [size], longest, known, bits, part_bytes).where(F.col("n") >= least))
+    if not 1 <= longest <= 7:
+        raise ValueError("phrases of one to seven words can be counted")
+    docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    last = frequent = materialize(_counted(docs, list(range(min(2, longest) + 1)), longest, None, bits, part_bytes).where(F.col("n") >= least))
+    for size in range(3, longest + 1):
+        shorter = spark.sparkContext.broadcast(_bit_set(last.where(F.col("place") % 8 == size - 1)))
+        last = materialize(_counted(docs, [size], longest, shorter, bits, part_bytes).where(F.col("n") >= least))
         frequent = frequent.unionByName(last)
     told = materialize(_read_back(docs, frequent, bits))
     doubtful = told.where(~F.col("sure"))
