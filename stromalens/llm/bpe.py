@@ -168,7 +168,7 @@ class BytePairCoder:
             return self._chunk(text)
         # between single blanks and line ends nothing joins, so words can be remembered
         chunks = text.replace(b" ", b"\x01 ").replace(b"\n", b"\x01\n\x01").split(b"\x01")
-        return b"".join(self.memo.values(chunks))
+        return self.memo.joined(chunks)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as little-endian 32-bit numbers; special tokens' strings give their ids."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -61,19 +62,31 @@ class Memo:
     def values(self, words: list) -> list:
         got = list(map(self.young.get, words))
         if None in got:
-            young, old = self.young, self.old
-            missing = {w for w, v in zip(words, got) if v is None}
-            known = [(w, v) for w in missing if (v := old.get(w)) is not None]
-            young.update(known)
-            missing.difference_update(w for w, _ in known)
-            if missing:
-                new = list(missing)
-                young.update(zip(new, self.compute(new)))
-            got = list(map(young.__getitem__, words))
-            if len(young) > self.entries:
-                self.young, self.old = {}, young
+            self._learn(words)
+            got = list(map(self.young.__getitem__, words))
+            self._age()
         return got
 
+    def joined(self, words: list) -> bytes:
+        """The values of all words, which are bytes, one after the other."""
+        with contextlib.suppress(KeyError):
+            return b"".join(map(self.young.__getitem__, words))
+        self._learn(words)
+        out = b"".join(map(self.young.__getitem__, words))
+        self._age()
+        return out
+
+    def _learn(self, words: list) -> None:
+        young, old = self.young, self.old
+        missing = [w for w in set(words) if w not in young]
+        young.update([(w, old[w]) for w in missing if w in old])
+        new = [w for w in missing if w not in young]
+        young.update(zip(new, self.compute(new)))
+
+    def _age(self) -> None:
+        if len(self.young) > self.entries:
+            self.young, self.old = {}, self.young
+
 
 #: Settings under which a tokenizer drops white space and never joins across it, so that the ids
 #: of a text are those of its words in order (fixed values, as in the tokenizer's file).
@@ -113,6 +126,7 @@ class LibraryTokens:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_word = all(spec[k] == v for k, v in _BY_WORD.items()) and not any(set(t) & set(" \t\n\v\f\r") for t in self.special)
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.pieces: dict[str, bytes] = {}
         self.memo = Memo(lambda words: [self._word(w) for w in words])
 
     def _whole(self, text: bytes) -> bytes:
@@ -123,13 +137,20 @@ class LibraryTokens:
         if not _PLAIN.fullmatch(text) or any(t in text for t in self.special):
             return self._whole(word)
         pieces = _PLAIN_PIECES.findall(text.lower())
-        if not text.isascii():
-            pieces = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        ids = [t.id for p in pieces for t in self.model.tokenize(p)]
+        known = self.pieces
+        try:
+            return b"".join([known[p] for p in pieces])
+        except KeyError:
+            if len(known) > MEMO_ENTRIES // 2:
+                known.clear()
+            return b"".join([known.get(p) or known.setdefault(p, self._piece(p)) for p in pieces])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(self.memo.values(text.split())) if self.by_word else self._whole(text)
+        return self.memo.joined(text.split()) if self.by_word else self._whole(text)
 
 
 _LIBRARIES: dict[str, LibraryTokens] = {}
