@@ -34,6 +34,8 @@ from .shared import binaries, slices
 
 #: Words of an anchor, and words of a suffix that its sort key holds one by one.
 ANCHOR, LEAD = 10, 4
+#: Words of the run that cuts a block, and runs on each side that it is compared with.
+CUT_WORDS, REACH = 4, 16
 #: Bytes of text that a task looks at together.
 CHUNK_BYTES = 4 << 20
 _IS_SPACE = np.zeros(256, bool)
@@ -127,6 +129,82 @@ def _anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return start, least[start], place, run[place]
 
 
+def _blocks(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut the windows of each text into blocks at places that their own words determine.
+
+    A cut is a run of ``CUT_WORDS`` whose hash is below all of the ``REACH`` before it and not above
+    those after it, in one text. Returns the first window of each block, the window behind
+    its last, and two hashes of the words that its windows hold.
+    """
+    start = words.windows(width)
+    if not len(start):
+        return start, start, start.view(np.uint64), start.view(np.uint64)
+    n, top = len(words.doc), ~np.uint64(0)
+    run = np.full(n, top)
+    inside = words.windows(CUT_WORDS)
+    run[inside] = _rolling(words.code, CUT_WORDS, _BASE[1])[inside]
+    spread = np.arange(n) + (words.doc + 1) * REACH  # so that no text looks into another
+    row = np.full(int(spread[-1]) + 1 + REACH, top)
+    row[spread] = run
+    least = _least(row, REACH)
+    cut = (run < least[spread - REACH]) & (run <= least[spread + 1])
+    cut[start[np.append(True, words.doc[start[1:]] != words.doc[start[:-1]])]] = True
+    first = start[cut[start]]
+    last = np.append(first[1:], start[-1] + 1)
+    final = np.searchsorted(start, last)  # a block ends with the windows of its text
+    last = np.minimum(last, start[final - 1] + 1)
+    hashes = []
+    for base in _BASE[1:]:
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(words.code * _powers(base, n), out=total[1:])
+        back = _powers(np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
+        hashes.append(_mix((total[last + width - 1] - total[first]) * back[first] + (last - first).astype(np.uint64)))
+    return first, last, *hashes
+
+
+def _dealt(lead: np.ndarray, digest: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, settled: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    """The earliest of what is equal in a task as rows; later ones, and what was ``settled`` (keys and
+    places) before, as places per text."""
+    order = np.lexsort((begin, key, doc, digest, lead))
+    same = (lead[order][1:] == lead[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    head = np.append(True, ~same)[:len(order)]
+    lead_row = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    # repeated rows are one document: their suffix at the same place is no repeat
+    twin = (key[order] == key[order[lead_row]]) & (begin[order] == begin[order[lead_row]])
+    keep, gone = order[head], order[~head & ~twin]
+    gone_key, gone_at = key[gone], begin[gone]
+    if settled is not None:
+        gone_key, gone_at = np.concatenate([gone_key, settled[0]]), np.concatenate([gone_at, settled[1]])
+    sort = np.lexsort((gone_at, gone_key))
+    gone_key, gone_at = gone_key[sort], gone_at[sort]
+    owner, cut = np.unique(gone_key, return_index=True)
+    starts = [x.astype("<i4").tobytes() for x in np.split(gone_at, cut[1:])] if len(cut) else []
+    blank = np.zeros(len(owner), np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([lead[keep], _mix(owner.view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([digest[keep], blank])),
+        pa.array(np.concatenate([doc[keep], blank])), pa.array(np.concatenate([key[keep], owner])),
+        pa.array(np.concatenate([begin[keep], blank]).astype(np.int32)), pa.array([None] * len(keep) + starts, pa.binary())],
+        ["lead", "digest", "doc_id", "key", "start", "starts"])
+
+
+_DEALT_SCHEMA = "lead long, digest long, doc_id long, key long, start int, starts binary"
+
+
+def _block_rows(docs: DataFrame, width: int) -> DataFrame:
+    """The blocks of all texts as ``_leaves`` takes them."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", CHUNK_BYTES):
+                words = Words(binaries(part, "text"))
+                first, _, one, two = _blocks(words, width)
+                if len(first):
+                    doc, key = (np.asarray(part.column(i), np.int64) for i in range(2))
+                    owner = words.doc[first]
+                    yield _dealt(one.view(np.int64), two.view(np.int64), doc[owner], key[owner], first - words.bounds[owner])
+
+    return _texts(docs).select("doc_id", "key", "text").mapInArrow(rows, _DEALT_SCHEMA)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     # null ids come before all others
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
@@ -174,48 +252,41 @@ def _sightings(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _suffixes(touched: DataFrame, width: int) -> DataFrame:
-    """The suffixes of ``touched(doc_id, key, z, anchors, sure)`` that start with a known anchor's window.
+    """The suffixes of ``touched(doc_id, key, z, anchors, sure, blocks)`` that start with a known anchor's window.
 
     Rows (lead, digest, doc_id, key, start): the earliest suffix of its words in the task. Later
-    ones are repeats already, given per text as ``starts``.
+    ones, and all windows of repeated ``blocks``, are repeats already, given per text as ``starts``.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in slices(batch, "z", CHUNK_BYTES // 2):
                 words = Words([z.decompress(x) for x in part.column(2).to_pylist()])
+                doc, key = (np.asarray(part.column(i), np.int64) for i in range(2))
                 start, anchor, _, _ = _anchors(words, width)
-                known = np.concatenate([np.asarray(part.column(3).flatten(), np.int64).view(np.uint64), np.frombuffer(b"".join(part.column(4).flatten().to_pylist()), np.uint64)])
-                known = np.unique(known)
+                flat = lambda i, kind: np.frombuffer(b"".join(x for xs in part.column(i).to_pylist() for x in xs or ()), kind)
+                settled = np.zeros(len(words.doc) + 1, np.int64)
+                repeated = [np.frombuffer(b"".join(xs or ()), "<i4") + words.bounds[i] for i, xs in enumerate(part.column(5).to_pylist())]
+                if sum(map(len, repeated)):
+                    first, last, _, _ = _blocks(words, width)
+                    mine = np.searchsorted(first, np.concatenate(repeated))
+                    np.add.at(settled, first[mine], 1)
+                    np.add.at(settled, last[mine], -1)
+                settled = np.cumsum(settled)[:-1] > 0
+                known = np.unique(np.concatenate([np.array([x for xs in part.column(3).to_pylist() for x in xs or ()], np.int64).view(np.uint64), flat(4, np.uint64)]))
                 at = start[known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor] if len(known) else start[:0]
-                if not len(at):
+                at, done = at[~settled[at]], np.flatnonzero(settled)
+                if not len(at) and not len(done):
                     continue
-                doc, key = (np.asarray(part.column(i), np.int64) for i in range(2))
                 owner = words.doc[at]
                 digest = _rolling(words.code, width, _BASE[2])[at].view(np.int64)
                 lead = np.zeros(len(at), np.uint64)
                 for i in range(LEAD):
                     lead = lead << np.uint64(16) | words.code[at + i] >> np.uint64(48)
-                lead = lead.view(np.int64)
-                begin = at - words.bounds[owner]
-                order = np.lexsort((begin, key[owner], doc[owner], digest, lead))
-                same = (lead[order][1:] == lead[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-                head = np.append(True, ~same)
-                lead_row = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-                # repeated rows are one document: their suffix at the same place is no repeat
-                twin = (key[owner[order]] == key[owner[order[lead_row]]]) & (begin[order] == begin[order[lead_row]])
-                keep, gone = order[head], order[~head & ~twin]
-                gone = gone[np.lexsort((begin[gone], owner[gone]))]
-                gone_owner, cut = np.unique(owner[gone], return_index=True)
-                starts = [x.astype("<i4").tobytes() for x in np.split(begin[gone], cut[1:])] if len(cut) else []
-                blank = np.zeros(len(gone_owner), np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([lead[keep], _mix(key[gone_owner].view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([digest[keep], blank])),
-                    pa.array(np.concatenate([doc[owner[keep]], doc[gone_owner]])), pa.array(np.concatenate([key[owner[keep]], key[gone_owner]])),
-                    pa.array(np.concatenate([begin[keep], blank]).astype(np.int32)), pa.array([None] * len(keep) + starts, pa.binary())],
-                    ["lead", "digest", "doc_id", "key", "start", "starts"])
-
-    return touched.select("doc_id", "key", "z", "anchors", "sure").mapInArrow(rows, "lead long, digest long, doc_id long, key long, start int, starts binary")
+                spot = words.doc[done]
+                yield _dealt(lead.view(np.int64), digest, doc[owner], key[owner], at - words.bounds[owner], (key[spot], done - words.bounds[spot]))
+
+    return touched.select("doc_id", "key", "z", "anchors", "sure", "blocks").mapInArrow(rows, _DEALT_SCHEMA)
 
 
 def _leaves(suffixes: DataFrame) -> DataFrame:
@@ -250,9 +321,11 @@ def repeats(docs: DataFrame, width: int) -> DataFrame:
     """key (hash of doc_id and text) and starts: places of the windows that also start earlier."""
     if width < ANCHOR + LEAD:
         raise ValueError(f"width must be at least {ANCHOR + LEAD}")
+    blocks = materialize(_leaves(_block_rows(docs, width)).groupBy("key").agg(F.collect_list("starts").alias("blocks")))
     seen = _sightings(docs, width).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1 or sure is not null")
     per_text = seen.groupBy("key").agg(F.collect_list(F.when(F.col("sure").isNull(), F.col("anchor"))).alias("anchors"), F.collect_list("sure").alias("sure"))
-    touched = materialize(_shrunk(docs, []).join(per_text, "key").select("doc_id", "key", "z", "anchors", "sure"))
+    told = per_text.join(blocks, "key", "full_outer")
+    touched = materialize(_shrunk(docs, []).join(told, "key").select("doc_id", "key", "z", "anchors", "sure", "blocks"))
     return _leaves(_suffixes(touched, width)).groupBy("key").agg(F.collect_list("starts").alias("starts"))
 
 
