@@ -205,6 +205,16 @@ def _block_rows(docs: DataFrame, width: int) -> DataFrame:
     return _texts(docs).select("doc_id", "key", "text").mapInArrow(rows, _DEALT_SCHEMA)
 
 
+def _unpacked_slices(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that column ``at``, compressed texts, gives about ``size`` bytes of text per piece."""
+    ends = np.cumsum([zstandard.frame_content_size(x) for x in batch.column(at).to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     # null ids come before all others
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
@@ -260,7 +270,7 @@ def _suffixes(touched: DataFrame, width: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, "z", CHUNK_BYTES // 2):
+            for part in _unpacked_slices(batch, 2, CHUNK_BYTES):
                 words = Words([z.decompress(x) for x in part.column(2).to_pylist()])
                 doc, key = (np.asarray(part.column(i), np.int64) for i in range(2))
                 start, anchor, _, _ = _anchors(words, width)
@@ -345,7 +355,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, extra: list[str] | None = N
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, "z"):
+            for part in _unpacked_slices(batch, 1, CHUNK_BYTES // 2):
                 out = []
                 for doc, packed, starts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     text = z.decompress(packed)
