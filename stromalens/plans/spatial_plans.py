@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import expression as X, spatial as P
+from ..operators import delaunay as D, expression as X, spatial as P
 from .bindings import CELLS, EXPRESSION, cells, expression, table
 from .registry import plan
 
@@ -195,3 +195,23 @@ def program_activity(spark, sf):
 def data_profile(spark, sf):
     d = X.data_profile(expression(spark, sf), cells(spark, sf).select("cell_id", "cluster"))
     return d.withColumn("median_counts", F.round("median_counts", 6)).withColumn("median_genes", F.round("median_genes", 6))
+
+
+@plan("delaunay_edges")
+def delaunay_edges(spark, sf):
+    """Delaunay neighbours among the places of all cells."""
+    places = D.number_places(cells(spark, sf))
+    ends = [places.select(F.col("place").alias(e), F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y")) for e in "ab"]
+    d = D.delaunay_edges(places).join(ends[0], "a").join(ends[1], "b")
+    return d.select("ax", "ay", "bx", "by", F.round("d", 6).alias("d"))
+
+
+@plan("tumor_hops")
+def tumor_hops(spark, sf):
+    return D.tumor_hops(cells(spark, sf), "5-LOW", "1-URGENT").select("cell_id", "hops")
+
+
+@plan("tumor_growth_by_hops")
+def tumor_growth_by_hops(spark, sf):
+    d = D.tumor_growth_by_hops(cells(spark, sf), "5-LOW", "1-URGENT")
+    return d.select(*[F.col(c) for c in d.columns if c.startswith("n_")], *[F.round(c, 6).alias(c) for c in d.columns if c.startswith(("inf", "mean"))])
