@@ -158,11 +158,28 @@ def test_heavy_blocks_lose_no_link(spark):
     assert {frozenset(map(signed, s)) for s in sets(want) if len(s) > 1} == sets(got)
 
 
+def slow_near_copies(texts):
+    """The smallest id linked to each by a Jaccard similarity of 0.8 of five-word shingles, directly or through others."""
+    sets = {i: {tuple(w[k:k + 5]) for w in [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()] for k in range(max(1, len(w) - 4))} for i, t in texts.items()}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a in sets:
+        for b in sets:
+            if a < b and 4 * max(len(sets[a]), len(sets[b])) <= 5 * min(len(sets[a]), len(sets[b])) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {i: top(i) for i in sets}
+
+
 def test_pipeline_drops_near_copies_by_jaccard(spark):
     import corpus_pipeline
 
     r = random.Random(8)
-    rows, near, base = [], set(), [f"w{i}" for i in range(5000)]
+    rows, base = [], [f"w{i}" for i in range(5000)]
     for i in range(40):
         text = r.choices(base, k=r.randint(120, 400))
         rows.append((i, " ".join(text)))
@@ -174,20 +191,8 @@ def test_pipeline_drops_near_copies_by_jaccard(spark):
     passage = " ".join(r.choices(base, k=60))
     rows += [(300 + i, passage + " " + " ".join(r.choices(base, k=60))) for i in range(40)]
     rows += [(400 + i, " ".join([f"v{i}" if j == 90 else w for j, w in enumerate(base[:180])])) for i in range(60)] + [(500, ""), (501, None), (502, "one two"), (503, "One two ")]
-    sets = {i: {tuple(w[k:k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for i, t in rows}
-    up = {i: i for i in sets}
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = top(a), top(b)
-                up[max(x, y)] = min(x, y)
-                near.add(b)
-    want = {i for i in sets if top(i) == i}
+    groups = slow_near_copies(dict(rows))
+    want, near = {i for i in groups if groups[i] == i}, {i for i in groups if groups[i] != i}
     assert len(near & set(range(100, 140))) > 30 and set(range(200, 240)) | set(range(300, 340)) <= want
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema), SF)
@@ -384,7 +389,7 @@ def test_pipeline_against_its_parts(spark):
     kept = quality.judge(docs, queries.trusted_documents(spark, SF)).where("kept").select("doc_id")
     known = language.predict(docs.join(kept, "doc_id"), queries.language_model(docs.join(kept, "doc_id"))).where("not rejected").select("doc_id")
     text = {r["doc_id"]: r["text"] for r in docs.join(known, "doc_id").collect()}
-    groups = slow_groups({i: slow_print(t) for i, t in text.items()})
+    groups = slow_near_copies(text)
     text = {i: t for i, t in text.items() if groups[i] == i}
     cut = {i: kept if gone else text[i] for i, (_, gone, kept) in slow_repeats(text.items()).items()}
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
