@@ -396,6 +396,9 @@ def test_pipeline_against_its_parts(spark):
     want = {(i, k, zlib.crc32(np.array(ids[s:s + 2048], "<u4").tobytes())) for i, t in cut.items() for ids in [[*tok.encode(t, add_special_tokens=False).ids, 0]] for k, s in enumerate(range(0, len(ids), 2048))}
     assert set(zip(out.doc_id, out.piece, out.ids_crc32)) == want and len(out) == len(want)
     assert out.groupby("sequence_id").length.sum().max() <= 2048
+    assert all(zlib.crc32(ids) == crc and len(ids) == 4 * n for ids, crc, n in zip(out.ids, out.ids_crc32, out.length))
+    none = [stage(spark, docs.limit(0), SF).count() for _, stage in corpus_pipeline.STAGES]
+    assert none == [0] * 5
 
 
 def test_digest_columns(spark):
