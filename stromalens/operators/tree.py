@@ -1,58 +1,86 @@
 """Average-linkage trees over labels, many cases at once.
 
-Average linkage never moves a merged pair closer to a third cluster than both were,
-so every pair of clusters that are each other's nearest can be merged in the same
-round. A few rounds of joins build the whole tree; ``d(A, B)`` is the mean of all
-label distances between A and B, kept as a sum and a count.
+Each case is one group: a matrix of its labels, whose number is a property of the staining and
+not of the number of cells. Inside it a nearest-neighbour chain finds pairs that are each
+other's nearest; average linkage never moves a merged pair closer to a third cluster than
+both were, so such pairs can be merged as they are found, in time quadratic in the labels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.lineage import materialize
 from .spatial import CASE
 
+#: Labels of a case; their matrix is held by one task (128 MB at this bound).
+MOST_LABELS = 4000
+
+
+def _chain(labels: list[str], total: np.ndarray) -> list[tuple[list[str], list[str], float]]:
+    """Merges (left leaves, right leaves, distance) of the labels, in ascending order, with these distances."""
+    n = len(labels)
+    pairs = np.ones((n, n))
+    leaves, height = [[x] for x in labels], [0.0] * n
+    alive = np.ones(n, bool)
+    chain: list[int] = []
+    merges = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        top = chain[-1]
+        d = np.where(alive, total[top] / pairs[top], np.inf)
+        d[top] = np.inf
+        least = d.min()
+        if not np.isfinite(least):
+            raise ValueError("no closest pair among the labels that are left; is a distance missing or not a number?")
+        # of equal distances the pair whose names come first
+        near = min(np.flatnonzero(d == least).tolist(), key=lambda j: (min(top, j), max(top, j)))
+        if len(chain) < 2 or chain[-2] != near:
+            chain.append(near)
+            continue
+        chain = chain[:-2]
+        a, b = min(top, near), max(top, near)
+        order = sorted((a, b), key=lambda i: (len(leaves[i]) > 1, height[i], i))
+        merges.append((leaves[order[0]], leaves[order[1]], float(least)))
+        for m in (total, pairs):
+            m[a] += m[b]
+            m[:, a] += m[:, b]
+        leaves[a], height[a] = leaves[order[0]] + leaves[order[1]], float(least)
+        alive[b] = False
+    return merges
+
 
 def average_linkage(pairs: DataFrame) -> DataFrame:
     """Merges ``(case_id, left_leaves, right_leaves, dist, size)`` of ``pairs(case_id, a, b, d)``, one row per unordered pair.
 
     Of two children a leaf comes before a tree and a lower tree before a higher one;
-    leaves are ordered by label. Every round merges at least the closest pair of each case.
+    leaves are ordered by label. Every pair of labels of a case needs a distance.
     """
-    pairs = materialize(pairs.select(CASE, "a", "b", F.col("d").alias("s"), F.lit(1).cast("bigint").alias("n")))
-    names = pairs.select(CASE, F.col("a").alias("c")).union(pairs.select(CASE, F.col("b").alias("c"))).distinct()
-    nodes = materialize(names.select(CASE, "c", F.lit(0.0).alias("height"), F.array("c").alias("leaves")))
-    merges = None
-    while not pairs.isEmpty():
-        mean = F.col("s") / F.col("n")
-        both = pairs.select(CASE, F.col("a").alias("c"), F.col("b").alias("o"), mean.alias("d")).unionByName(
-            pairs.select(CASE, F.col("b").alias("c"), F.col("a").alias("o"), mean.alias("d")))
-        near = both.groupBy(CASE, "c").agg(F.min(F.struct("d", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))).alias("p"))
-        mutual = near.groupBy(CASE, "p").agg(F.count("*").alias("k")).filter("k = 2").select(CASE, F.col("p.lo").alias("a"), F.col("p.hi").alias("b"), F.col("p.d").alias("d"))
-        mutual = materialize(mutual)
-        if mutual.isEmpty():
-            raise RuntimeError("no closest pair among the labels that are left; is a distance not a number?")
-        left = nodes.select(CASE, F.col("c").alias("a"), F.col("height").alias("ha"), F.col("leaves").alias("la"))
-        right = nodes.select(CASE, F.col("c").alias("b"), F.col("height").alias("hb"), F.col("leaves").alias("lb"))
-        rows = mutual.join(left, [CASE, "a"]).join(right, [CASE, "b"])
-        first = F.struct((F.size("la") > 1).alias("t"), F.col("ha").alias("h"), F.col("a").alias("c")) <= \
-            F.struct((F.size("lb") > 1).alias("t"), F.col("hb").alias("h"), F.col("b").alias("c"))
-        rows = materialize(rows.select(CASE, "a", "b", "d", F.when(first, F.col("la")).otherwise(F.col("lb")).alias("l"),
-                                       F.when(first, F.col("lb")).otherwise(F.col("la")).alias("r")))
-        step = rows.select(CASE, F.col("l").alias("left_leaves"), F.col("r").alias("right_leaves"), F.col("d").alias("dist"), (F.size("l") + F.size("r")).alias("size"))
-        merges = step if merges is None else merges.unionByName(step)
-        renamed = rows.select(CASE, F.col("a").alias("c"), F.col("a").alias("rep")).unionByName(rows.select(CASE, F.col("b").alias("c"), F.col("a").alias("rep")))
-        nodes = materialize(nodes.join(renamed.select(CASE, "c"), [CASE, "c"], "left_anti").unionByName(
-            rows.select(CASE, F.col("a").alias("c"), F.col("d").alias("height"), F.concat("l", "r").alias("leaves"))))
-        for side in ("a", "b"):
-            r = renamed.select(CASE, F.col("c").alias(side), "rep")
-            pairs = pairs.join(r, [CASE, side], "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
-        pairs = materialize(pairs.filter("a <> b").groupBy(CASE, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                            .agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-    if merges is None:
+    rows = pairs.select(CASE, "a", "b", F.col("d").cast("double").alias("d"))
+    if rows.isEmpty():
         raise ValueError("need at least two labels to build a tree")
-    return merges
+    case, label = (rows.schema[c].dataType.simpleString() for c in (CASE, "a"))
+
+    def tree(table: pa.Table) -> pa.Table:
+        a, b, d = table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("d").to_pylist()
+        names = sorted({*a, *b})
+        if len(names) > MOST_LABELS:
+            raise ValueError(f"more than {MOST_LABELS} labels in a case")
+        at = {x: i for i, x in enumerate(names)}
+        total = np.full((len(names), len(names)), np.nan)
+        for x, y, v in zip(a, b, d):
+            total[at[x], at[y]] = total[at[y], at[x]] = np.nan if v is None else v
+        np.fill_diagonal(total, 0.0)
+        if np.isnan(total).any():
+            raise ValueError("no closest pair among the labels that are left; is a distance missing or not a number?")
+        left, right, dist = zip(*_chain(names, total))
+        kind = pa.list_(table.column("a").type)
+        return pa.table({CASE: table.column(CASE).combine_chunks().take(pa.array([0] * len(dist))), "left_leaves": pa.array(left, kind), "right_leaves": pa.array(right, kind),
+                         "dist": pa.array(dist, pa.float64()), "size": pa.array([len(x) + len(y) for x, y in zip(left, right)], pa.int32())})
+
+    return rows.groupBy(CASE).applyInArrow(tree, f"{CASE} {case}, left_leaves array<{label}>, right_leaves array<{label}>, dist double, size int")
 
 
 def cophenetic_matrix(merges: DataFrame, scale_to_one: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import align, expression as X, specs
-from .bindings import (CELLS, CLUSTER_STRUCTURE, EXPRESSION, GROUPS_TEXT, STRUCTURE_OF, cells, cluster_structure, expression,
+from .bindings import (STRUCTURES, CELLS, CLUSTER_STRUCTURE, EXPRESSION, GROUPS_TEXT, STRUCTURE_OF, cells, cluster_structure, expression,
                        structure_of, table)
 from .registry import plan
 
@@ -35,12 +35,17 @@ def pseudobulk_de(spark, sf):
                                  F.round("mean_counts", 6).alias("mean_counts"))
 
 
+def _clusters(spark, sf):
+    """All labels, as the columns of a wide table."""
+    return [r[0] for r in cells(spark, sf).select("cluster").distinct().orderBy("cluster").collect()]
+
+
 @plan("diffexp_wide", f"""WITH {DE} SELECT gene AS "Feature Name",
   {', '.join(f'''round(max(log2fc) FILTER (cluster = '{k}'), 6) AS "Cluster {k} Log2 fold change",
    max(CASE WHEN abs(log2fc) >= 0.5 THEN 0.001::DOUBLE ELSE 1::DOUBLE END) FILTER (cluster = '{k}') AS "Cluster {k} Adjusted p value",
-   round(max(mean_counts) FILTER (cluster = '{k}'), 6) AS "Cluster {k} Mean Counts"''' for k in ('1-URGENT', '5-LOW'))} FROM de GROUP BY 1""")
+   round(max(mean_counts) FILTER (cluster = '{k}'), 6) AS "Cluster {k} Mean Counts"''' for k in STRUCTURES)} FROM de GROUP BY 1""")
 def diffexp_wide(spark, sf):
-    return X.diffexp_wide(pseudobulk_de(spark, sf), ["1-URGENT", "5-LOW"])
+    return X.diffexp_wide(pseudobulk_de(spark, sf), _clusters(spark, sf))
 
 
 @plan("align_cells_clusters", f"""WITH {CELLS} SELECT cell_id, c_mktsegment AS cluster, x, y FROM cells
@@ -138,10 +143,9 @@ def pathway_scores_long(spark, sf):
     return _pathways(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@plan("pathway_scores_wide", f"""WITH {DE} SELECT cluster_id, pathway, round(score, 6) AS score, n_genes FROM ({_SCORES})
-  WHERE cluster_id IN ('1-URGENT', '5-LOW')""")
+@plan("pathway_scores_wide", f"WITH {DE} SELECT cluster_id, pathway, round(score, 6) AS score, n_genes FROM ({_SCORES})")
 def pathway_scores_wide(spark, sf):
-    wide = X.diffexp_wide(_de(spark, sf), ["1-URGENT", "5-LOW"])
+    wide = X.diffexp_wide(_de(spark, sf), _clusters(spark, sf))
     return (X.pathway_scores(X.normalize_diffexp(wide), _sets(spark, sf)).drop("matched_genes")
             .withColumn("score", F.round("score", 6)))
 

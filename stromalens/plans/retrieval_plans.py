@@ -28,28 +28,47 @@ def symmetric_distance(spark, sf):
     return _matrix(spark, sf).select("a", "b", F.round("d", 6).alias("d"))
 
 
-@plan("structure_groups")
+#: Average linkage step by step: for each step, the cluster, height, place and size of every label.
+WALK = f"""{MATRIX}, sym AS (SELECT least(a, b) AS a, greatest(a, b) AS b, avg(d) AS d FROM matrix WHERE a <> b GROUP BY 1, 2),
+ walk(step, label, c, h, pos, size) AS (
+  SELECT 0, a, a, 0::DOUBLE, 0, 1 FROM (SELECT DISTINCT a FROM matrix)
+  UNION ALL
+  SELECT step + 1, label, CASE WHEN c = hi THEN lo ELSE c END, CASE WHEN c IN (lo, hi) THEN d ELSE h END,
+   pos + CASE WHEN c = hi AND first THEN lo_size WHEN c = lo AND NOT first THEN hi_size ELSE 0 END, CASE WHEN c IN (lo, hi) THEN lo_size + hi_size ELSE size END
+  FROM walk, (SELECT *, (lo_size > 1, lo_h, lo) <= (hi_size > 1, hi_h, hi) AS first FROM (
+   SELECT x.c AS lo, y.c AS hi, avg(sym.d) AS d, any_value(x.size) AS lo_size, any_value(y.size) AS hi_size, any_value(x.h) AS lo_h, any_value(y.h) AS hi_h
+   FROM walk x JOIN walk y ON x.c < y.c JOIN sym ON sym.a = least(x.label, y.label) AND sym.b = greatest(x.label, y.label) GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 1)))"""
+COPHENETIC = f"""{WALK}, tree AS (SELECT x.label AS a, y.label AS b, min(x.h) AS d FROM walk x JOIN walk y ON x.step = y.step AND x.c = y.c AND x.label < y.label GROUP BY 1, 2)"""
+GROUPS = f"""{WALK}, last AS (SELECT max(step) AS top FROM walk), leaf AS (SELECT label, pos AS leaf_pos FROM walk, last WHERE step = top),
+ cut AS (SELECT label, leaf_pos, c, h FROM walk JOIN leaf USING (label), last WHERE step = top - 2), lead AS (SELECT c, min(leaf_pos) AS p FROM cut GROUP BY 1),
+ groups AS (SELECT label, leaf_pos, dense_rank() OVER (ORDER BY p) AS group_id, h AS height FROM cut JOIN lead USING (c))"""
+
+
+@plan("structure_groups", f"WITH RECURSIVE {GROUPS} SELECT label, leaf_pos, CAST(group_id AS INTEGER) AS group_id, round(height, 6) AS height FROM groups")
 def structure_groups(spark, sf):
-    """Tree cut into three groups (tested against a plain average linkage)."""
-    return Y.structure_groups(_merges(spark, sf), 3).drop("case_id")
+    """Tree cut into three groups."""
+    d = Y.structure_groups(_merges(spark, sf), 3)
+    return d.select("label", "leaf_pos", "group_id", F.round("height", 6).alias("height"))
 
 
-@plan("leaf_spans")
+@plan("leaf_spans", f"""WITH RECURSIVE {GROUPS} SELECT CAST(group_id AS INTEGER) AS group_id, count(*) AS cluster_count, min(leaf_pos) AS leaf_start, max(leaf_pos) AS leaf_end,
+  10.0::DOUBLE * min(leaf_pos) AS span_left, 10.0::DOUBLE * max(leaf_pos) + 10 AS span_right, round(avg(5 + 10.0::DOUBLE * leaf_pos), 6) AS x_data, round(max(height), 6) AS y_data,
+  string_agg(label, ',' ORDER BY leaf_pos) AS clusters FROM groups GROUP BY 1""")
 def leaf_spans(spark, sf):
-    return Y.leaf_spans(Y.structure_groups(_merges(spark, sf), 3)).drop("case_id").withColumn("clusters", F.array_join("clusters", ","))
+    d = Y.leaf_spans(Y.structure_groups(_merges(spark, sf), 3)).drop("case_id").withColumn("clusters", F.array_join("clusters", ","))
+    return d.withColumn("x_data", F.round("x_data", 6)).withColumn("y_data", F.round("y_data", 6))
 
 
-@plan("cophenetic_matrix")
+@plan("cophenetic_matrix", f"WITH RECURSIVE {COPHENETIC} SELECT a, b, round(d / (SELECT max(d) FROM tree), 6) AS d FROM tree")
 def cophenetic_matrix(spark, sf):
-    return Y.cophenetic_matrix(_merges(spark, sf), scale_to_one=True).drop("case_id")
+    return Y.cophenetic_matrix(_merges(spark, sf), scale_to_one=True).select("a", "b", F.round("d", 6).alias("d"))
 
 
-@plan("cophenetic_block_stats", f"""WITH {MATRIX}, sym AS (SELECT least(a, b) AS a, greatest(a, b) AS b, avg(d) AS d FROM matrix WHERE a <> b GROUP BY 1, 2)
+@plan("cophenetic_block_stats", f"""WITH RECURSIVE {COPHENETIC}
   SELECT count(*) AS n_pairs, {', '.join(f'round({e}, 6) AS {n}' for n, e in (('min', 'min(d)'), ('p05', 'quantile_cont(d, 0.05)'), ('median', 'quantile_cont(d, 0.5)'), ('mean', 'avg(d)'), ('p95', 'quantile_cont(d, 0.95)'), ('max', 'max(d)')))}
-  FROM sym WHERE (a IN ('1-URGENT', '5-LOW')) <> (b IN ('1-URGENT', '5-LOW'))""")
+  FROM tree WHERE (a IN ('1-URGENT', '5-LOW')) <> (b IN ('1-URGENT', '5-LOW'))""")
 def cophenetic_block_stats(spark, sf):
-    """On the distance matrix itself, so that SQL can follow."""
-    d = Y.block_stats(_matrix(spark, sf), ["1-URGENT", "5-LOW"])
+    d = Y.block_stats(Y.cophenetic_matrix(_merges(spark, sf)), ["1-URGENT", "5-LOW"])
     return d.select("n_pairs", *[F.round(c, 6).alias(c) for c in ("min", "p05", "median", "mean", "p95", "max")])
 
 

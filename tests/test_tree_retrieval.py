@@ -179,3 +179,27 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run()
     got = {str(r.window_start)[:10]: (r.total_bundles, r.failed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"2024-01-01": (1, 0), "2024-01-03": (1, 0)}
+
+
+def test_a_thousand_trees_at_once(spark):
+    """Cophenetic distances of each case against merging the closest pair again and again."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    rows, want = [], {}
+    for case in range(1000):
+        labels = [f"l{i}" for i in range(2 + case % 6)]
+        d = {p: r.choice([r.random(), 0.5]) if case % 3 else r.random() for p in itertools.combinations(labels, 2)}
+        rows += [(case, a, b, v) for (a, b), v in d.items()]
+        groups, heights = [(x,) for x in labels], {}
+        while len(groups) > 1:
+            mean = lambda x, y: sum(d[min(i, j), max(i, j)] for i in x for j in y) / len(x) / len(y)
+            x, y = min(itertools.combinations(groups, 2), key=lambda p: (mean(*p), min(p[0]), min(p[1])))
+            heights.update({(case, min(i, j), max(i, j)): mean(x, y) for i in x for j in y})
+            groups = [g for g in groups if g not in (x, y)] + [x + y]
+        if case % 3 == 0:  # without ties the tree is unique
+            want.update(heights)
+    merges = Y.average_linkage(spark.createDataFrame(rows, "case_id long, a string, b string, d double"))
+    got = {(x["case_id"], x["a"], x["b"]): x["d"] for x in Y.cophenetic_matrix(merges).collect()}
+    assert len(got) == len(rows) and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
