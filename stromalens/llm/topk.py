@@ -82,13 +82,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
 
     Components count as floor(``scale`` * x). A query's own id is no candidate; rows with a null
     id, a null vector, or a null or non-finite component take no part, and only vectors as
-    long as the query's are compared. A repeated id counts once for each different vector, an
-    equal row once. All hits are returned if there are fewer than ``k``.
+    long as the query's are compared. Every candidate row counts, so equal rows take a rank each;
+    a query that is repeated with one vector is asked once. All hits are returned if there are fewer than ``k``.
 
     The numbers of blocks follow from one count. Each candidate is sent once per block of
     queries, each query once per block of candidates.
     """
-    whole = vectors.select(F.col(key).cast("long").alias("id"), quantized(F.col(vec), scale).alias("v"), is_query.alias("q")).where("id is not null and v is not null").distinct()
+    whole = vectors.select(F.col(key).cast("long").alias("id"), quantized(F.col(vec), scale).alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     sizes = whole.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("q")).collect()
     found = None
     for size in sizes:
@@ -108,7 +108,7 @@ def _search(rows: DataFrame, n: int, n_queries: int, k: int) -> DataFrame:
     block = lambda m: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(m)).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     candidates = rows.select("id", "v", block(c_blocks).alias("c"), all_of(q_blocks).alias("b"))
-    queries = rows.where("q").select("id", "v", all_of(c_blocks).alias("c"), block(q_blocks).alias("b"))
+    queries = rows.where("q").select("id", "v").distinct().select("id", "v", all_of(c_blocks).alias("c"), block(q_blocks).alias("b"))
 
     def unit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

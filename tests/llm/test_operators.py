@@ -62,6 +62,8 @@ def test_top_k_matches_sql_and_defines_odd_rows(spark):
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 2 == 0, 2).collect())
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (2, 1, 0, 65536), (2, 2, 1, 65536), (6, 1, 0, -65536), (6, 2, 1, -65536)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 2 == 0, 2).count() == 0
+    three = topk.top_k(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()  # a repeated candidate takes a rank for each row
+    assert [r["vec_id"] for r in three] == [1, 2, 2] and [r["rank"] for r in three] == [1, 2, 3]
 
 
 def test_search_stops_early_and_stays_exact():
