@@ -430,23 +430,42 @@ def crop(bbox: DataFrame, width: int, height: int) -> DataFrame:
     return c.withColumn("error", F.when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "contour box does not meet the image"))
 
 
+def scanline_spans(vertices: DataFrame) -> DataFrame:
+    """``(polygon_id, part, py, px0, px1)``: runs of pixels, ends included, whose centres are inside a part.
+
+    ``vertices(polygon_id, part, ring, seq, x, y)``, rings open or closed. Each edge gives its
+    crossing with the middle of every pixel row that it passes; in a row the crossings, in
+    order, open and close in turns, holes included (even-odd). The work is that of the edges' rows
+    and of the runs: no pixel is tested against an edge.
+    """
+    along = Window.partitionBy("polygon_id", "part", "ring").orderBy("seq")
+    end = F.struct("x", "y")
+    edges = (vertices.withColumn("_b", F.coalesce(F.lead(end).over(along), F.first(end).over(along)))
+             .select("polygon_id", "part", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_b.x").alias("bx"), F.col("_b.y").alias("by")))
+    low, high = F.ceil(F.least("ay", "by") - 0.5), F.ceil(F.greatest("ay", "by") - 0.5) - 1
+    rows = edges.where(low <= high).withColumn("py", F.explode(F.sequence(low, high)))
+    at = F.col("ax") + (F.col("py") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    across = Window.partitionBy("polygon_id", "part", "py").orderBy("at")
+    runs = rows.select("polygon_id", "part", "py", at.alias("at")).select("polygon_id", "part", "py", "at", F.lead("at").over(across).alias("to"), F.row_number().over(across).alias("k"))
+    first, last = F.ceil(F.col("at") - 0.5), F.ceil(F.col("to") - 0.5) - 1
+    return runs.where((F.col("k") % 2 == 1) & (first <= last)).select("polygon_id", "part", F.col("py").cast("int").alias("py"), first.cast("int").alias("px0"), last.cast("int").alias("px1"))
+
+
 def masked_pixels(pixels: DataFrame, vertices: DataFrame, tile: float = 64.0) -> DataFrame:
     """Pixels inside each polygon's box, zero outside the outline: ``(polygon_id, px, py, r, g, b, inside)``.
 
-    ``pixels(px, py, r, g, b)``; a pixel counts by its centre.
+    ``pixels(px, py, r, g, b)``; a pixel counts by its centre. Boxes meet pixels through tiles,
+    outlines as runs of pixels.
     """
-    from .spatial import point_in_polygon
     box = polygon_bbox(vertices)
-    ids = pixels.withColumn("pixel_id", F.struct("px", "py")).withColumn("x", F.col("px") + 0.5).withColumn("y", F.col("py") + 0.5)
-    # box pixels through tiles, so the match is an equi-join
 
     def cell(c):
         return F.floor(F.col(c) / F.lit(tile)).cast("bigint")
     cover = (box.withColumn("tx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("ty", F.explode(F.sequence(cell("y0"), cell("y1")))))
-    boxed = (ids.withColumn("tx", cell("px")).withColumn("ty", cell("py")).join(cover, ["tx", "ty"])
-             .filter("px >= x0 AND px < x1 AND py >= y0 AND py < y1").select("polygon_id", "pixel_id", "px", "py", "r", "g", "b"))
-    hit = point_in_polygon(ids.select("pixel_id", "x", "y"), vertices, tile, id_="pixel_id").select("polygon_id", "pixel_id", F.lit(True).alias("inside"))
-    out = boxed.join(hit, ["polygon_id", "pixel_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    boxed = (pixels.withColumn("tx", cell("px")).withColumn("ty", cell("py")).join(cover, ["tx", "ty"])
+             .filter("px >= x0 AND px < x1 AND py >= y0 AND py < y1").select("polygon_id", "px", "py", "r", "g", "b"))
+    hit = scanline_spans(vertices).select("polygon_id", F.explode(F.sequence("px0", "px1")).alias("px"), "py").distinct().withColumn("inside", F.lit(True))
+    out = boxed.join(hit, ["polygon_id", "px", "py"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     return out.select("polygon_id", "px", "py", *[F.when(F.col("inside"), F.col(c)).otherwise(0).alias(c) for c in ("r", "g", "b")], "inside")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components as C, grid as G, specs
 from ..operators.spatial import CASE, with_case
-from .bindings import CELLS, GROUPS_TEXT, STRUCTURE_OF, cells, structure_of
+from .bindings import CELLS, GROUPS_TEXT, STRUCTURE_OF, cells, structure_of, table
 from .registry import plan
 from .spatial_plans import squares
 
@@ -284,18 +284,21 @@ def _pixels(spark, sf):
 PIXELS = f"""{BINNED(90, 70)}, pixels AS (SELECT ix AS px, iy AS py, CAST(count(*) * 20 % 256 AS INTEGER) AS r, CAST(sum(structure_id) % 256 AS INTEGER) AS g, 7 AS b FROM binned GROUP BY 1, 2)"""
 
 
-@plan("masked_pixels", f"""WITH {PIXELS}, p(polygon_id, x0, y0, x1, y1) AS (VALUES (1, 3, 4, 20, 30), (2, 10, 10, 60, 66))
-  SELECT polygon_id, px, py, CASE WHEN inside THEN r ELSE 0 END AS r, CASE WHEN inside THEN g ELSE 0 END AS g, CASE WHEN inside THEN b ELSE 0 END AS b, inside FROM (
-   SELECT *, px + 0.5 + py + 0.5 < x0 + y0 + (x1 - x0) - 0.25 AS inside FROM (SELECT * FROM p, pixels WHERE px >= x0 AND px < x1 AND py >= y0 AND py < y1))""")
+@plan("masked_pixels", f"""WITH {PIXELS}, q AS (SELECT s_suppkey AS polygon_id, s_suppkey * 37 % 90 AS cx, s_suppkey * 211 % 70 AS cy, 3.2 + s_nationkey / 4.0 AS r, s_acctbal > 5000 AS hole FROM supplier),
+  p AS (SELECT *, px + 0.5 - cx AS dx, py + 0.5 - cy AS dy FROM q, pixels WHERE px >= floor(cx - r) AND px < ceil(cx + 2 * r) AND py >= floor(cy - r) AND py < ceil(cy + 2 * r)),
+  m AS (SELECT *, abs(dx) < r AND abs(dy) < r AND NOT (hole AND abs(dx) < r / 2 AND abs(dy) < r / 2) OR dx > 0 AND dy > 0 AND dx + dy < 2 * r AS inside FROM p)
+  SELECT polygon_id, px, py, CASE WHEN inside THEN r_1 ELSE 0 END AS r, CASE WHEN inside THEN g ELSE 0 END AS g, CASE WHEN inside THEN b ELSE 0 END AS b, inside FROM m""".replace("q, pixels WHERE", "q, (SELECT px, py, r AS r_1, g, b FROM pixels) WHERE"))
 def masked_pixels(spark, sf):
-    # right triangles: the corner and equal legs; off-centre by a quarter so no pixel centre is on the edge
-    rows = []
-    for pid, x0, y0, x1, y1 in ((1, 3, 4, 20, 30), (2, 10, 10, 60, 66)):
-        leg = x1 - x0 - 0.25
-        rows += [(pid, 0, 0, 0, float(x0), float(y0)), (pid, 0, 0, 1, float(x0 + leg), float(y0)), (pid, 0, 0, 2, float(x0), float(y0 + leg))]
-        rows += [(pid, 1, 0, 0, float(x1) - 0.2, float(y1) - 0.2), (pid, 1, 0, 1, float(x1) - 0.1, float(y1) - 0.2), (pid, 1, 0, 2, float(x1) - 0.2, float(y1) - 0.1)]
-    v = spark.createDataFrame(rows, "polygon_id int, part int, ring int, seq int, x double, y double")
-    return G.masked_pixels(_pixels(spark, sf), v, 16.0)
+    """A square of each supplier, with a hole where the balance is high, and a triangle that overlaps it."""
+    s = table(spark, sf, "supplier")
+    r, cx, cy = F.lit(3.2) + F.col("s_nationkey") / 4.0, F.col("s_suppkey") * 37 % 90, F.col("s_suppkey") * 211 % 70
+    square, triangle = [(-1, -1), (1, -1), (1, 1), (-1, 1)], [(0, 0), (2, 0), (0, 2)]
+
+    def ring(part, n, corners, size):
+        return [F.struct(F.lit(part).alias("part"), F.lit(n).alias("ring"), F.lit(i).alias("seq"), (cx + a * size).cast("double").alias("x"), (cy + b * size).cast("double").alias("y")) for i, (a, b) in enumerate(corners)]
+    hole = F.when(F.col("s_acctbal") > 5000, r / 2)
+    v = s.select(F.col("s_suppkey").alias("polygon_id"), F.explode(F.array(*ring(0, 0, square, r), *ring(0, 1, square, hole), *ring(1, 0, triangle, r))).alias("v")).select("polygon_id", "v.*")
+    return G.masked_pixels(_pixels(spark, sf), v.where("x IS NOT NULL AND y IS NOT NULL"), 16.0)
 
 
 _GREY = "((r * 19595 + g * 38470 + b * 7471 + 32768) // 65536)"
