@@ -167,7 +167,7 @@ def program_activity(expression: DataFrame, sets: DataFrame, cells: DataFrame, q
     cuts = exact_quantiles(scores, ["pathway"], "score", {"cut": quantile})
     kept = scores.join(cuts, "pathway").filter("score > cut").select("pathway", "cell_id")
     active = with_case(kept.join(cells.select("cell_id", "x", "y"), "cell_id"))
-    a = tiles.pack(active.select(CASE, "pathway", "cell_id", "x", "y"), [CASE])
+    a = tiles.pack(active.select(CASE, "pathway", "cell_id", "x", "y"), [CASE], block=tiles.SEARCH)
     b = tiles.pack(with_case(cells).select(CASE, F.col("cluster").alias("celltype"), "x", "y").distinct(), [CASE, "celltype"])
     near = tiles.nearest(a, b, [CASE], [CASE, "pathway", "cell_id"])
     return near.groupBy("pathway", "celltype").agg(F.count("*").alias("retained_cell_count"), F.avg("d").alias("d"))

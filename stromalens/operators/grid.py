@@ -177,7 +177,7 @@ def exclusive_seed(seeds: DataFrame, post: DataFrame, min_pixels: int, width: in
 
 def nearest_seed(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
     """Structure of the closest seed pixel for each pixel; on equal distance the smallest id."""
-    a = tiles.pack(pixels.select(CASE, F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y")), [CASE])
+    a = tiles.pack(pixels.select(CASE, F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y")), [CASE], block=tiles.SEARCH)
     b = tiles.pack(seeds.select(CASE, F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "structure_id"), [CASE])
     near = tiles.nearest(a, b, [CASE], [CASE, "x", "y"], ["structure_id"])
     return near.select(CASE, F.col("x").cast("int").alias("ix"), F.col("y").cast("int").alias("iy"), "structure_id", "d")

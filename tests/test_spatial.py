@@ -117,3 +117,28 @@ def test_projection_falls_back_to_circle(spark):
     cells = spark.createDataFrame([("z", 1.0, 2.0)], "barcode string, x double, y double")
     got = {r.barcode: r for r in P.zscore_projection(labels, cells).collect()}
     assert abs(got["a-1"].axis_1 - 1) <= 0.04 and abs(got["b-1"].axis_1 + 1) <= 0.04
+
+
+def test_blocks_keep_to_quadtree_squares_and_few_pairs(spark):
+    """What a search sends is a few points per point: one row per pair of wide blocks, whatever the points."""
+    rng = np.random.default_rng(8)
+    rows = [("case", i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((6000, 2)) * 100)]
+    c = spark.createDataFrame(rows, "case_id string, cell_id long, x double, y double")
+    a, b = tiles.pack(c, ["case_id"], block=tiles.SEARCH), tiles.pack(c, ["case_id"])
+    boxes = b.leaves.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")).first()
+    assert boxes.n == 6000 and boxes.most <= tiles.BLOCK and boxes.area <= 100 * 100
+    pairs = tiles.nearest_blocks(a, b, ["case_id"])
+    assert pairs.join(b.leaves.select(F.col("leaf").alias("bblock"), "n"), "bblock").agg(F.sum("n")).first()[0] <= 8 * 6000
+
+
+def test_pairs_in_reach_are_not_shuffled(cells):
+    plan = P.radius_neighbors(cells, 3.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow") < plan.index("RepartitionByExpression"), "one join with the few groups' names after the search"
+    assert "a_pid" not in plan
+
+
+def test_nearest_carries_the_smallest_of_equals_and_skips_odd_places(spark):
+    a = spark.createDataFrame([("s", "p", 0.0, 0.0), ("s", "q", float("nan"), 0.0), ("s", "r", None, 1.0)], "case_id string, id string, x double, y double")
+    b = spark.createDataFrame([("s", 1.0, 0.0, "z"), ("s", -1.0, 0.0, "k"), ("s", 0.0, 1.0, "m"), ("s", float("inf"), 0.0, "a"), ("s", None, 0.0, "a")], "case_id string, x double, y double, name string")
+    got = tiles.nearest(tiles.pack(a, ["case_id"], block=2), tiles.pack(b, ["case_id"]), ["case_id"], ["id"], ["name"]).collect()
+    assert [(r.id, r.d, r.name) for r in got] == [("p", 1.0, "k")]
