@@ -455,17 +455,18 @@ def masked_pixels(pixels: DataFrame, vertices: DataFrame, tile: float = 64.0) ->
     """Pixels inside each polygon's box, zero outside the outline: ``(polygon_id, px, py, r, g, b, inside)``.
 
     ``pixels(px, py, r, g, b)``; a pixel counts by its centre. Boxes meet pixels through tiles,
-    outlines as runs of pixels.
+    outlines as runs of pixels. Tiles and runs are exploded, which Spark's sizes do not see: it
+    would send them whole through the driver, so both joins are merged.
     """
     box = polygon_bbox(vertices)
 
     def cell(c):
         return F.floor(F.col(c) / F.lit(tile)).cast("bigint")
     cover = (box.withColumn("tx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("ty", F.explode(F.sequence(cell("y0"), cell("y1")))))
-    boxed = (pixels.withColumn("tx", cell("px")).withColumn("ty", cell("py")).join(cover, ["tx", "ty"])
+    boxed = (pixels.withColumn("tx", cell("px")).withColumn("ty", cell("py")).join(cover.hint("merge"), ["tx", "ty"])
              .filter("px >= x0 AND px < x1 AND py >= y0 AND py < y1").select("polygon_id", "px", "py", "r", "g", "b"))
     hit = scanline_spans(vertices).select("polygon_id", F.explode(F.sequence("px0", "px1")).alias("px"), "py").distinct().withColumn("inside", F.lit(True))
-    out = boxed.join(hit, ["polygon_id", "px", "py"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    out = boxed.join(hit.hint("merge"), ["polygon_id", "px", "py"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     return out.select("polygon_id", "px", "py", *[F.when(F.col("inside"), F.col(c)).otherwise(0).alias(c) for c in ("r", "g", "b")], "inside")
 
 

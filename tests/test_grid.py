@@ -209,3 +209,11 @@ def test_scanline_runs_equal_the_crossing_rule(spark):
     got = [(x["polygon_id"], x["part"], px, x["py"]) for x in G.scanline_spans(v).collect() for px in range(x["px0"], x["px1"] + 1)]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
     assert G.scanline_spans(v.limit(0)).count() == 0
+
+
+def test_masked_pixels_sends_no_exploded_side_through_the_driver(spark):
+    vertices = spark.range(40).selectExpr("id AS polygon_id", "0 AS part", "0 AS ring", "explode(array(struct(0 AS seq, 0D AS x, 0D AS y), struct(1 AS seq, 30D AS x, 0D AS y), struct(2 AS seq, 0D AS x, 30D AS y))) AS v").select("polygon_id", "part", "ring", "v.*")
+    pixels = spark.range(1600).selectExpr("CAST(id % 40 AS INT) AS px", "CAST(id DIV 40 AS INT) AS py", "1 AS r", "2 AS g", "3 AS b")
+    out = G.masked_pixels(pixels, vertices, 16.0)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 40 * 900 and out.where("inside").count() == 40 * 435
