@@ -142,3 +142,22 @@ def test_nearest_carries_the_smallest_of_equals_and_skips_odd_places(spark):
     b = spark.createDataFrame([("s", 1.0, 0.0, "z"), ("s", -1.0, 0.0, "k"), ("s", 0.0, 1.0, "m"), ("s", float("inf"), 0.0, "a"), ("s", None, 0.0, "a")], "case_id string, x double, y double, name string")
     got = tiles.nearest(tiles.pack(a, ["case_id"], block=2), tiles.pack(b, ["case_id"]), ["case_id"], ["id"], ["name"]).collect()
     assert [(r.id, r.d, r.name) for r in got] == [("p", 1.0, "k")]
+
+
+def test_points_in_polygons_are_not_shuffled_as_pairs(spark):
+    """Many polygons over one tile: no join of points with polygons, and the same pairs as the crossing rule."""
+    rng = np.random.default_rng(3)
+    shapes = {k: [(float(x), float(y)) for x, y in rng.random((5, 2)) * 60] for k in range(600)}
+    v = spark.createDataFrame([(k, 0, 0, i, x, y) for k, ring in shapes.items() for i, (x, y) in enumerate(ring)], "polygon_id long, part int, ring int, seq int, x double, y double")
+    pts = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.random((40, 2)) * 60)]
+    out = P.point_in_polygon(spark.createDataFrame(pts, "cell_id string, x double, y double"), v, 25.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+    want = set()
+    for k, ring in shapes.items():
+        for name, x, y in pts:
+            crossings = sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in zip(ring, ring[1:] + ring[:1]))
+            if crossings % 2:
+                want.add((name, k))
+    got = [(r.cell_id, r.polygon_id) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
