@@ -166,6 +166,12 @@ def groups(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) ->
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def roots(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """key (hash of doc_id and text) and root (the smallest fingerprint of its group) of every row."""
+    prints = materialize(fingerprints(docs, width, seed))
+    return prints.join(_rooted(prints, radius), "fp").select("key", "root")
+
+
 def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """One row of each group, all columns kept: the smallest doc_id (null after all others), of
     several texts under one doc_id the one with the smaller hash, of repeated rows any."""

@@ -410,3 +410,15 @@ def test_digest_columns(spark):
         ids = tok.encode(r["text"], add_special_tokens=False).ids
         row = got.loc[r["doc_id"]]
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and row.decoded_sha256 == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_pipeline_drops_what_simhash_links(spark):
+    """Two texts with one fingerprint go as one although only 3 of their 5 five-word shingles agree."""
+    import corpus_pipeline
+
+    rows = [(0, " ".join(["a b c"] * 50 + ["x y"])), (1, " ".join(["a b c"] * 40)), (2, "quite another text of words")]
+    prints = [simhash.fingerprint(t.encode(), 3, 42) & (2 ** 64 - 1) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x["doc_id"] for x in near_copies.one_of_each(docs).collect()) == [0, 1, 2]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 2]
