@@ -11,54 +11,76 @@ from .ranking import top_per_group
 
 #: Rows of a block of chunks and of queries, and scores that a task holds at a time.
 CHUNK_ROWS, QUERY_ROWS, TILE = 16_384, 1024, 1 << 21
+#: Characters that a worker lays out at a time; their arrays take about 40 bytes each.
+CHUNK_CHARS = 1 << 19
 CHUNK = "array<struct<start:int,stop:int,text:string>>"
 
 
+def _pieces(texts, size: int, overlap: int):
+    """The chunks of each text, as lists of dictionaries."""
+    import numpy as np
+
+    bodies = [(t or "").replace("\r\n", "\n").strip() for t in texts]
+    laid = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
+    begins = ends - np.array([len(b) for b in bodies], np.int64)
+    # for each character, the last place at or before it where a cut may fall; the blank
+    # after a full stop lies behind the stop, so sentences need no mark of their own
+    place = np.arange(len(laid))
+    breaks = np.where(laid == 32, place, -1)
+    if len(laid) > 1:
+        paragraph = (laid[1:] == 10) & (laid[:-1] == 10)
+        breaks[1:] = np.where(paragraph, np.maximum(breaks[1:], place[:-1]), breaks[1:])
+    breaks = np.maximum.accumulate(breaks)
+    # all texts advance together, one chunk a round
+    row = np.flatnonzero(ends > begins)
+    front = begins[row]
+    found = []
+    while len(row):
+        limit = np.minimum(front + size, ends[row])
+        back = breaks[limit - 1]
+        far = (limit < ends[row]) & (back - front > size // 2)
+        limit = np.where(far, back + 1, limit)
+        found.append((row, front - begins[row], limit - begins[row]))
+        more = limit < ends[row]
+        row, front = row[more], np.maximum(front[more] + 1, limit[more] - overlap)
+    pieces = np.empty(len(bodies), object)
+    pieces[:] = [[] for _ in bodies]
+    for rows, lo, hi in found:
+        for i, start, stop in zip(rows.tolist(), lo.tolist(), hi.tolist()):
+            piece = bodies[i][start:stop].strip()
+            if piece:
+                pieces[i].append({"start": start, "stop": stop, "text": piece})
+    return pieces
+
+
+def _spans(texts, size: int, overlap: int):
+    """The chunks of a batch of texts, laid out ``CHUNK_CHARS`` at a time."""
+    import numpy as np
+    import pandas as pd
+
+    out = np.empty(len(texts), object)
+    begin = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= CHUNK_CHARS or i + 1 == len(texts):
+            out[begin:i + 1] = _pieces(texts.iloc[begin:i + 1], size, overlap)
+            begin, held = i + 1, 0
+    return pd.Series(out, dtype=object)
+
+
 def chunk_spans(text, size: int = 1200, overlap: int = 120) -> Column:
     """Overlapping pieces of a text, cut at a paragraph, sentence or word where one is near.
 
-    The places where a cut may fall are found for a whole batch of texts at once; then all
-    texts of the batch take their next chunk in the same round of array operations.
+    The places where a cut may fall are found for many texts at once, of ``CHUNK_CHARS`` in all;
+    then all of them take their next chunk in the same round of array operations.
     """
     if size < 1 or overlap < 0:
         raise ValueError("chunk size must be positive and overlap not negative")
 
     @F.pandas_udf(CHUNK)
     def spans(texts):
-        import numpy as np
-        import pandas as pd
-
-        bodies = [(t or "").replace("\r\n", "\n").strip() for t in texts]
-        laid = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), "<u4")
-        ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
-        begins = ends - np.array([len(b) for b in bodies], np.int64)
-        # for each character, the last place at or before it where a cut may fall; the blank
-        # after a full stop lies behind the stop, so sentences need no mark of their own
-        place = np.arange(len(laid))
-        breaks = np.where(laid == 32, place, -1)
-        if len(laid) > 1:
-            paragraph = (laid[1:] == 10) & (laid[:-1] == 10)
-            breaks[1:] = np.where(paragraph, np.maximum(breaks[1:], place[:-1]), breaks[1:])
-        breaks = np.maximum.accumulate(breaks)
-        # all texts advance together, one chunk a round
-        row = np.flatnonzero(ends > begins)
-        front = begins[row]
-        found = []
-        while len(row):
-            limit = np.minimum(front + size, ends[row])
-            back = breaks[limit - 1]
-            far = (limit < ends[row]) & (back - front > size // 2)
-            limit = np.where(far, back + 1, limit)
-            found.append((row, front - begins[row], limit - begins[row]))
-            more = limit < ends[row]
-            row, front = row[more], np.maximum(front[more] + 1, limit[more] - overlap)
-        out = [[] for _ in bodies]
-        for rows, lo, hi in found:
-            for i, start, stop in zip(rows.tolist(), lo.tolist(), hi.tolist()):
-                piece = bodies[i][start:stop].strip()
-                if piece:
-                    out[i].append({"start": start, "stop": stop, "text": piece})
-        return pd.Series(out)
+        return _spans(texts, size, overlap)
     return spans(text if isinstance(text, Column) else F.col(text))
 
 

@@ -203,3 +203,19 @@ def test_a_thousand_trees_at_once(spark):
     merges = Y.average_linkage(spark.createDataFrame(rows, "case_id long, a string, b string, d double"))
     got = {(x["case_id"], x["a"], x["b"]): x["d"] for x in Y.cophenetic_matrix(merges).collect()}
     assert len(got) == len(rows) and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_chunking_holds_a_bounded_part_of_a_batch():
+    """A batch of 8 million characters: the arrays over them once took 40 bytes each."""
+    import tracemalloc
+
+    import pandas as pd
+
+    texts = pd.Series([("some words. " * 200)[i % 7:] for i in range(3400)] + [None, "", " x "])
+    tracemalloc.start()
+    got = V._spans(texts, 1200, 120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    alone = [V._pieces(texts.iloc[i:i + 1], 1200, 120)[0] for i in (0, 1, 3399, 3400, 3401, 3402)]
+    assert [got[i] for i in (0, 1, 3399, 3400, 3401, 3402)] == alone and len(alone[0]) > 1 and alone[3:] == [[], [], [{"start": 0, "stop": 1, "text": "x"}]]
