@@ -100,9 +100,9 @@ def label_selected_structure(cells: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def missing_structures(spec: DataFrame, cells: DataFrame) -> DataFrame:
-    """Structures none of whose labels occurs among the cells."""
+    """Structures none of whose labels occurs among the cells; each label of the cells is joined once."""
     present = (spec.select("structure_id", F.explode("cluster_ids").alias("cluster"))
-               .join(cells.select("cluster"), "cluster", "left_semi").select("structure_id"))
+               .join(cells.select("cluster").distinct(), "cluster", "left_semi").select("structure_id"))
     return spec.join(present, "structure_id", "left_anti")
 
 

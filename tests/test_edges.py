@@ -87,3 +87,13 @@ def test_no_folder_of_our_own_on_a_cluster(spark):
         conf, sparkContext = Conf(), Context()
     with pytest.raises(ValueError):
         lineage.shared_dir(Session())
+
+
+def test_missing_structures_joins_each_label_once(spark):
+    from stromalens.operators import align
+
+    spec = spark.createDataFrame([(1, "A", ["x"]), (2, "B", ["y", "z"]), (3, "C", [])], "structure_id int, structure_name string, cluster_ids array<string>")
+    cells = spark.range(1000).selectExpr("id AS cell_id", "CASE WHEN id % 3 = 0 THEN 'z' WHEN id % 3 = 1 THEN 'w' END AS cluster")
+    out = align.missing_structures(spec, cells)
+    assert "Aggregate [cluster" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.structure_id for r in out.collect()) == [1, 3]
