@@ -39,13 +39,14 @@ def nearest_of_group(cells: DataFrame, targets: DataFrame, group: str, target_gr
 def searcher_findee_distance(cells: DataFrame, label: str = "cluster") -> DataFrame:
     """Mean distance from the cells of one label to the nearest cell of another (ours), per case.
 
-    Long form ``(case_id, a, b, d)``. Cells at one place are searched for once.
+    Long form ``(case_id, a, b, d)``. Cells at one place are searched for once. The matrix is
+    kept, as trees and rankings read it several times and each reading would search again.
     """
     places = distinct_places(with_case(cells), label)
     a = tiles.pack(places.select(CASE, F.col(label).alias("a"), "x", "y", "weight"), [CASE], block=tiles.SEARCH)
     b = tiles.pack(places.select(CASE, F.col(label).alias("b"), "x", "y"), [CASE, "b"])
     near = tiles.nearest(a, b, [CASE], [CASE, "a", "x", "y", "weight"])
-    return near.groupBy(CASE, "a", "b").agg((F.sum(F.col("d") * F.col("weight")) / F.sum("weight")).alias("d"))
+    return materialize(near.groupBy(CASE, "a", "b").agg((F.sum(F.col("d") * F.col("weight")) / F.sum("weight")).alias("d")))
 
 
 def symmetric_distance(matrix: DataFrame) -> DataFrame:

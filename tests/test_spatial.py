@@ -44,6 +44,12 @@ def test_mean_distance_counts_piled_cells(cells):
             assert abs(got[a, b] - want) < 1e-9
 
 
+def test_matrix_is_searched_for_once(cells):
+    """Trees and rankings read the matrix several times: what they read must be the kept table, not the search."""
+    plan = P.searcher_findee_distance(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "MapInArrow" not in plan
+
+
 def test_radius_counts_match_brute_force(cells):
     rows = crowd()
     got = {(r.cell_id, r.radius): r.neighbors for r in P.neighbor_counts(cells, [5.0, 60.0]).collect()}
