@@ -61,8 +61,9 @@ class Memo:
 
     def values(self, words: list) -> list:
         got = list(map(self.young.get, words))
-        if None in got:
-            self._learn(words)
+        missing = [w for w, v in zip(words, got) if v is None]
+        if missing:
+            self._learn(missing)
             got = list(map(self.young.__getitem__, words))
             self._age()
         return got
@@ -100,6 +101,11 @@ _BY_WORD = {
 #: Characters for which the settings above amount to lower case and this pattern.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The same for words that stand in lines of their own.
+_PLAIN_LINES = re.compile("[!-~À-ÖØ-öø-ÿ\n]+")
+_LINE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+#: Stands between words among their ids; ids below 1 << 24 end in a zero byte, so it is found nowhere else.
+_BETWEEN = b"\xff\xff\xff\xff"
 
 
 def byte_letters() -> list[str]:
@@ -126,8 +132,10 @@ class LibraryTokens:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_word = all(spec[k] == v for k, v in _BY_WORD.items()) and not any(set(t) & set(" \t\n\v\f\r") for t in self.special)
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.by_line = self.by_word and max(self.tok.get_vocab().values(), default=0) < 1 << 24
         self.pieces: dict[str, bytes] = {}
-        self.memo = Memo(lambda words: [self._word(w) for w in words])
+        self.known = Memo(lambda pieces: [_BETWEEN if p == "\n" else self._piece(p) for p in pieces], MEMO_ENTRIES // 2)
+        self.memo = Memo(self._words)
 
     def _whole(self, text: bytes) -> bytes:
         return np.asarray(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -145,6 +153,13 @@ class LibraryTokens:
                 known.clear()
             return b"".join([known.get(p) or known.setdefault(p, self._piece(p)) for p in pieces])
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of several words, cut into pieces all at once where they are plain."""
+        text = b"\n".join(words).decode("utf-8", "replace")
+        if not self.by_line or not _PLAIN_LINES.fullmatch(text) or any(t in text for t in self.special):
+            return [self._word(w) for w in words]
+        return self.known.joined(_LINE_PIECES.findall(text.lower())).split(_BETWEEN)
+
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -152,6 +167,27 @@ class LibraryTokens:
     def encode(self, text: bytes) -> bytes:
         return self.memo.joined(text.split()) if self.by_word else self._whole(text)
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and how many each has; null is empty.
+
+        Each different word is looked up once.
+        """
+        texts = texts.fill_null("")
+        if not self.by_word:
+            ids = [self._whole(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        words = pc.ascii_split_whitespace(texts)
+        places = words.flatten().dictionary_encode()
+        known = self.memo.values(places.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table, at = np.frombuffer(b"".join(known), "<u4"), np.asarray(places.indices)
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        first = (np.cumsum(sizes) - sizes)[at] - (ends - counts)
+        values = table[np.repeat(first, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(np.asarray(pc.list_value_length(words), np.int64)))]
+        return values, np.diff(cuts)
+
 
 _LIBRARIES: dict[str, LibraryTokens] = {}
 

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_dir
-from .shared import binaries, library_tokens, lists, slices
+from .shared import library_tokens, lists, slices
 
 #: Fixed values of the format: selector -> values per word and bits per value.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], np.int64)
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0], np.int64)
 ESCAPE, DENSEST, WIDEST = 0, 1, 14
+#: Bytes of text of which a worker looks up the different words at a time.
+LOOKED_UP = 8 << 20
 #: Ids of a block; a block ends with the first document that reaches it.
 BLOCK_IDS = 1 << 16
 
@@ -42,8 +44,9 @@ def pack(values: np.ndarray) -> bytes:
     # the densest selector that takes each value alone
     need = (np.searchsorted(limits[1:15], values, side="left") + 1).astype(np.uint8)
     take = np.full(n, WIDEST, np.uint8)
+    narrow = np.arange(n, dtype=np.int32)
     for selector in range(WIDEST - 1, DENSEST - 1, -1):
-        narrow = np.flatnonzero(need <= selector)
+        narrow = narrow[need[narrow] <= selector]
         if not len(narrow):
             break
         # a value's run of narrow values must cover the count, or reach the end
@@ -116,31 +119,36 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, bloc
     the blocks of one range. A null text is empty; a null ``doc_id`` comes first; equal ids
     follow each other in the order of their texts.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = library_tokens(tokenizer), TaskContext.get().partitionId()
-        ids, names, held, start, block = [], [], 0, 0, 0
+        ids, sizes, names, held, start, block = [], [], [], 0, 0, 0
 
         def flush():
-            nonlocal ids, names, held, start, block
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            values = np.frombuffer(b"".join(ids), "<u4")
+            nonlocal ids, sizes, names, held, start, block
+            lengths, values = np.concatenate(sizes), np.concatenate(ids)
             out = pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names[0]], pa.int64()), pa.array([start], pa.int64()),
                 pa.array([len(values)], pa.int64()), pa.array([names], pa.list_(pa.int64())), lists(lengths, [len(lengths)], pa.int64()), pa.array([pack(values)], pa.binary())],
                 ["part", "block", "first_doc", "start", "n_ids", "doc_ids", "lengths", "words"])
-            start, block, ids, names, held = start + len(values), block + 1, [], [], 0
+            start, block, ids, sizes, names, held = start + len(values), block + 1, [], [], [], 0
             return out
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                for name, text in zip(piece.column(0).to_pylist(), binaries(piece, "text")):
-                    x = tokens.encode(text) + end
-                    ids.append(x)
-                    names.append(name)
-                    held += len(x) // 4
-                    if held >= block_ids:
+            for piece in slices(batch, "text", LOOKED_UP):
+                values, lengths = tokens.encode_all(piece.column(1))
+                ends = np.cumsum(lengths + 1)
+                values, lengths = np.insert(values, np.cumsum(lengths), end_id), lengths + 1
+                docs_here, at, done = piece.column(0).to_pylist(), 0, 0
+                while at < len(lengths):
+                    # the document that fills the block is its last
+                    stop = int(np.searchsorted(ends, done + block_ids - held)) + 1
+                    full, stop = stop <= len(lengths), min(stop, len(lengths))
+                    ids.append(values[done:ends[stop - 1]])
+                    sizes.append(lengths[at:stop])
+                    names += docs_here[at:stop]
+                    held += int(ends[stop - 1]) - done
+                    at, done = stop, int(ends[stop - 1])
+                    if full:
                         yield flush()
         if ids:
             yield flush()

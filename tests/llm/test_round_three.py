@@ -244,3 +244,20 @@ def test_new_queries(spark):
     assert sorted(tuple(x) for x in queries.QUERIES["op11_phrase_collocations"](spark, SF).collect()) == slow_phrases([(x["text"], x["lang"]) for x in docs])
     vectors = [(x["vec_id"], list(x["embedding"]), x["label"]) for x in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted((str(x[0]), x[1], x[2], x[3]) for x in queries.QUERIES["op12_vector_near_copies"](spark, SF).collect()) == slow_vectors(vectors)
+
+
+def test_columns_of_texts_have_the_ids_of_the_library():
+    """op10 looks up each different word of many texts once; new words are cut into pieces together."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from stromalens.llm import shared
+
+    texts = [None, "", "  ", " a\tb\x0bc\x0cd\r\n e ", "It's 'S 12ab÷× ÿÀß", "<|endoftext|>x y", "日本 語 café é́", "'ll.'s''ve", "x\x85w \x1c\x1d a\x1fb", "a a b a"]
+    tokens = shared.LibraryTokens(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = [tokens.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # new words, then known ones
+        values, sizes = tokens.encode_all(pa.array(texts))
+        assert [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])] == wanted
+    plain = [t.encode() for t in ("It's", "12ab", "a.b", "'ll.'s")]
+    assert tokens._words(plain) == [tokens._word(w) for w in plain]
