@@ -7,7 +7,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.lineage import materialize
@@ -86,18 +86,20 @@ class _FireOnce(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "flagged long, fired boolean, last long", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        flagged, fired, last = self.seen.get() if self.seen.exists() else (0, False, -1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        flagged, fired, last = self.seen.get() or (0, False, -1)
         need, before = self.threshold - flagged, last
-        first: list[tuple] = []  # the earliest flags of this batch, no more than are needed
-        for batch in rows:
-            latest = batch["ts"].max()
-            if not pd.isna(latest):
-                last = max(last, latest.value // 1_000_000)
-            batch = batch[batch["correction_type"] == self.flag]
-            flagged += len(batch)
-            if not fired and len(batch):
-                first = heapq.nsmallest(need, [*first, *zip(batch["ts"], batch["correction_id"])])
+        first: list[tuple] = []  # the earliest flags of this batch, no more than a few times what is needed
+        for row in rows:
+            if row.ms is not None:
+                last = max(last, row.ms)
+            if row.correction_type != self.flag:
+                continue
+            flagged += 1
+            if not fired:
+                first.append((row.ts is None, row.ts, row.correction_id is None, row.correction_id))
+                if len(first) > 4 * need:
+                    first = heapq.nsmallest(need, first)
         fires = not fired and flagged >= self.threshold
         if self.quiet_ms is not None and last > before:
             if before >= 0:
@@ -105,10 +107,10 @@ class _FireOnce(StatefulProcessor):
             self.handle.registerTimer(last + self.quiet_ms)
         self.seen.update((flagged, fired or fires, last))
         if fires:
-            ts, correction = first[need - 1]
-            yield pd.DataFrame({"case_id": [key[0]], "correction_id": [correction], "ts": [ts], "threshold": [self.threshold]})
+            _, ts, _, correction = heapq.nsmallest(need, first)[-1]
+            yield Row(case_id=key[0], correction_id=correction, ts=ts, threshold=self.threshold)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.seen.clear()  # a case that was quiet for so long starts anew
         return iter(())
 
@@ -132,10 +134,13 @@ def fire_once(corrections: DataFrame, threshold: int = 50, flag: str = "flag_for
         raise ValueError("timers run on event time, the time to live by the clock: choose one")
     ms = lambda text: int(pd.Timedelta(text) / pd.Timedelta(milliseconds=1)) if text else None
     rows = corrections.select("case_id", "correction_id", "correction_type", F.col("ts").cast("timestamp").alias("ts"))
+    if not quiet and not ttl:
+        rows = rows.where(F.col("correction_type") == flag)  # other rows change no state
     mode = "EventTime" if quiet else "ProcessingTime" if ttl else "None"
     if quiet:
         rows = rows.withWatermark("ts", delay)
-    return rows.groupBy("case_id").transformWithStateInPandas(_FireOnce(threshold, flag, ms(quiet), ms(ttl)), TRIGGER_SCHEMA, "Append", mode)
+    rows = rows.withColumn("ms", F.unix_millis("ts"))
+    return rows.groupBy("case_id").transformWithState(_FireOnce(threshold, flag, ms(quiet), ms(ttl)), TRIGGER_SCHEMA, "Append", mode)
 
 
 def late_rows(rows: DataFrame, closed: DataFrame, window: str = "1 day") -> DataFrame:

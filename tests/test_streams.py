@@ -92,3 +92,10 @@ def test_half_replaced_table_is_completed(spark, tmp_path):
     streams._remove(spark, f"{path}/bucket=0")  # the driver is lost after the old bucket went
     streams.merge_batch(update, path, 1, buckets=1)
     assert _all(spark, path) == {("a", 2, "new"), ("b", 1, "b")}
+
+
+def test_flags_without_a_time_count_last(spark, tmp_path):
+    """As ORDER BY does it; rows that are no flags do not reach the state of a case without timers."""
+    flag, path = "flag_for_finetuning", str(tmp_path / "in")
+    _flags(spark, path, [("a", 1, flag, None), ("a", 2, flag, 1), ("a", 9, "reject", 0), ("a", 3, flag, 2)])
+    assert _run(spark, tmp_path, threshold=2) == [("a", "3")]
