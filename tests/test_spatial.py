@@ -44,6 +44,17 @@ def test_mean_distance_counts_piled_cells(cells):
             assert abs(got[a, b] - want) < 1e-9
 
 
+def test_z_order_interleaves_bits_and_stays_small(spark):
+    """Both coordinates are named once; with shifts and masks each was named 16 times and the code was not compiled."""
+    places = [(0.0, 0.0), (65536.0, 65536.0), (1.0, 2.0), (255.5, 256.0), (12345.0, 54321.0), (65535.0, 1.0)]
+    points = spark.createDataFrame(places, "x double, y double")
+    rows = points.withColumn("_z", tiles.z_order(points))
+    for r in rows.collect():
+        x, y = (min(int(v), 65535) for v in (r.x, r.y))
+        assert r["_z"] == sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(16))
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("floor(") == 2
+
+
 def test_matrix_is_searched_for_once(cells):
     """Trees and rankings read the matrix several times: what they read must be the kept table, not the search."""
     plan = P.searcher_findee_distance(cells)._jdf.queryExecution().optimizedPlan().toString()
