@@ -219,3 +219,19 @@ def test_chunking_holds_a_bounded_part_of_a_batch():
     assert peak < 120e6
     alone = [V._pieces(texts.iloc[i:i + 1], 1200, 120)[0] for i in (0, 1, 3399, 3400, 3401, 3402)]
     assert [got[i] for i in (0, 1, 3399, 3400, 3401, 3402)] == alone and len(alone[0]) > 1 and alone[3:] == [[], [], [{"start": 0, "stop": 1, "text": "x"}]]
+
+
+def test_chunking_lays_out_a_bounded_part_of_a_batch(monkeypatch):
+    """A worker lays out ``CHUNK_CHARS`` at a time, not its whole batch, and cuts the same chunks."""
+    import pandas as pd
+    from stromalens.operators import retrieval
+    texts = pd.Series([f"word{i} " * (20 + i % 50) for i in range(300)] + [None, ""])
+    whole, laid, pieces = list(retrieval._pieces(texts, 100, 10)), [], retrieval._pieces
+
+    def recorded(part, size, overlap):
+        laid.append(sum(len(t or "") for t in part))
+        return pieces(part, size, overlap)
+    monkeypatch.setattr(retrieval, "CHUNK_CHARS", 4000)
+    monkeypatch.setattr(retrieval, "_pieces", recorded)
+    assert list(retrieval._spans(texts, 100, 10)) == whole
+    assert len(laid) > 10 and max(laid) < 4000 + texts.str.len().max()
