@@ -18,24 +18,46 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.lineage import materialize
 from .shared import binaries, library_tokens, slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
+RANK_SCHEMA = "_part int, _rank long"
+_RANK = ["_part", "_rank"]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+class _Ranks:
+    """Numbers the pieces of each length that a task meets, from 0."""
+
+    def __init__(self, capacity: int):
+        self.part, self.seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+
+    def columns(self, lengths: np.ndarray) -> list[pa.Array]:
+        """The task, and the rank of each piece within its length and task."""
+        order = np.argsort(lengths, kind="stable")
+        values, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
+        rank = np.empty(len(lengths), np.int64)
+        rank[order] = np.arange(len(lengths)) - np.repeat(first, n) + self.seen[lengths[order]]
+        self.seen[values] += n
+        return [pa.array(np.full(len(lengths), self.part, np.int32)), pa.array(rank)]
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ranked: bool = False) -> DataFrame:
     """Ids of every text, ended by ``end_id``, as pieces of at most ``capacity`` ids.
 
     Columns: doc_id, piece (from 0), start (ids of the document before it), length, ids
     (little-endian unsigned 32-bit numbers). Only documents longer than ``capacity`` are cut.
     A null text is empty and gives one piece of the end id alone; repeated rows give pieces each.
+    With ``ranked`` the columns that ``pack_pieces`` counts by, _part and _rank, come first: a
+    task then needs one Python worker, where cutting and ranking apart take two at once, any of
+    which may come to hold the tokenizer and its memo.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = library_tokens(tokenizer)
+        tokens, ranks = library_tokens(tokenizer), _Ranks(capacity)
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
@@ -44,11 +66,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                         x = ids[i:i + 4 * capacity]
                         out.append((doc, k, i // 4, len(x) // 4, x))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                    ["doc_id", "piece", "start", "length", "ids"])
+                cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+                extra = ranks.columns(np.asarray(cols[3])) if ranked else []
+                yield pa.RecordBatch.from_arrays([*extra, *cols], [*(_RANK if ranked else []), "doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, f"{RANK_SCHEMA}, {PIECE_SCHEMA}" if ranked else PIECE_SCHEMA)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -108,27 +130,22 @@ def pack_pieces(pieces: DataFrame, capacity: int, length: str = "length") -> Dat
     """Add sequence_id and offset to pieces of 1 to ``capacity`` tokens; other columns stay.
 
     The pieces are written once to the shared folder with their rank within their length and
-    task. Only the counts by length, ``capacity`` numbers at most, reach the driver. Which of
+    task, which is counted here unless they bring it (``token_pieces`` with ``ranked``). Only the counts by length, ``capacity`` numbers at most, reach the driver. Which of
     several equally long pieces goes where follows the order in which tasks read them.
     An empty table gives an empty result.
     """
-    names = ["_part", "_rank", *pieces.columns]
-    fields = pieces.sparkSession.createDataFrame([], "_part int, _rank long").schema.fields + pieces.schema.fields
+    keep = [c for c in pieces.columns if c not in _RANK]
+    empty = pieces.sparkSession.createDataFrame
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = _Ranks(capacity)
         for batch in batches:
             x = np.asarray(batch.column(batch.schema.get_field_index(length)), np.int64)
-            order = np.argsort(x, kind="stable")
-            values, first, n = np.unique(x[order], return_index=True, return_counts=True)
-            rank = np.empty(len(x), np.int64)
-            rank[order] = np.arange(len(x)) - np.repeat(first, n) + seen[x[order]]
-            seen[values] += n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, np.int32)), pa.array(rank), *batch.columns], names)
-
-    from pyspark.sql.types import StructType
+            yield pa.RecordBatch.from_arrays([*ranks.columns(x), *batch.columns], [*_RANK, *keep])
 
-    held = materialize(pieces.mapInArrow(ranked, StructType(fields)))
+    if not set(_RANK) <= set(pieces.columns):
+        pieces = pieces.mapInArrow(rank, StructType(empty([], RANK_SCHEMA).schema.fields + pieces.schema.fields))
+    held = materialize(pieces)
     by_part = held.groupBy("_part", F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("_n"))
     before = by_part.select("_part", "_length", (F.sum("_n").over(Window.partitionBy("_length").orderBy("_part")) - F.col("_n")).alias("_before"))
     histogram = {r["_length"]: r["n"] for r in held.groupBy(F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -138,8 +155,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, length: str = "length") -> Dat
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     stride = int(plan[:, 1:3].sum(axis=1).max(initial=0)) + 1
     keys = plan[:, 0] * stride + plan[:, 1]
-    out_fields = StructType([*pieces.schema.fields, *pieces.sparkSession.createDataFrame([], "sequence_id long, offset long").schema.fields])
-    keep = list(pieces.columns)
+    out_fields = StructType([*(pieces.schema[c] for c in keep), *empty([], "sequence_id long, offset long").schema.fields])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,9 +82,9 @@ def op4_simhash_groups(spark, sf_dir):
 
 def packed_documents(docs: DataFrame, ids: bool = False) -> DataFrame:
     """Documents in sequences of 2048 tokens, each ended by id 0; with ``ids`` also the tokens of each piece."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, ranked=True)
     own = ["ids"] if ids else []
-    return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *own), 2048)
+    return packing.pack_pieces(pieces.select("_part", "_rank", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *own), 2048)
 
 
 @query("op5_pack_sequences")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Bytes of text that a Python worker takes into lists at a time.
 SLICE_BYTES = 2 << 20
 #: Entries of a generation of a worker's memo of words.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from stromalens.functions import lineage
 from stromalens.llm import bpe, graph, html_text, language, near_copies, packing, quality, queries, simhash, substrings, token_files, topk, urls
 
 SF = "/root/testdata/sf0.001"
@@ -230,6 +231,19 @@ def test_packing(spark, docs):
     assert packing.pack_pieces(pieces.limit(0), 64).count() == 0
 
 
+def test_packing_takes_one_python_worker_a_task(spark, docs, monkeypatch):
+    """The pieces are cut and ranked in one pass through Python, and packed as if ranked apart."""
+    written = []
+    monkeypatch.setattr(packing, "materialize", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or lineage.materialize(df))
+    packed = queries.packed_documents(frame(spark, docs).repartition(3), ids=True)
+    assert written[0].count("MapInArrow") == 1
+    path = public_tokenizers.path("word_bpe_49k.json")
+    apart = packing.pack_pieces(packing.token_pieces(frame(spark, docs).repartition(3), path, 2048, 0), 2048)
+    places = ["sequence_id", "offset", "length"]
+    assert sorted(map(tuple, packed.select(places).collect())) == sorted(map(tuple, apart.select(places).collect()))
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+
+
 def test_bins_are_as_few_as_can_be():
     r = random.Random(6)
     for _ in range(30):
