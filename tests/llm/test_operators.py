@@ -203,6 +203,32 @@ def test_pipeline_drops_near_copies_by_jaccard(spark):
     assert near_copies.one_of_each(frame(spark, [])).count() == 0
 
 
+def test_near_copies_in_crowds_are_all_linked(spark):
+    """Texts share one long passage, which crowds every band without making them copies; pairs of them are copies."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(4000)]
+    passage = " ".join(r.choices(base, k=300))
+    rows = []
+    for i in range(300):
+        own = r.choices(base, k=40)
+        rows.append((i, passage + " " + " ".join(own)))
+        if i < 40:
+            rows.append((1000 + i, passage + " " + " ".join([*r.choices(base, k=30), *own[30:]])))
+    groups = slow_near_copies(dict(rows))
+    want = [i for i in groups if groups[i] == i]
+    assert sorted(want) == list(range(300))
+    assert sorted(x["doc_id"] for x in near_copies.one_of_each(frame(spark, rows)).collect()) == sorted(want)
+
+
+def test_sets_in_common_are_counted_block_by_block(monkeypatch):
+    r = np.random.default_rng(5)
+    left, right = ([np.unique(r.integers(0, 90, r.integers(0, 60))) for _ in range(n)] for n in (7, 5))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert near_copies._shared(left, right).tolist() == want
+    monkeypatch.setattr(near_copies, "SHARED", 8)
+    assert near_copies._shared(left, right).tolist() == want
+
+
 def test_packing(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
