@@ -178,3 +178,25 @@ def test_points_in_polygons_are_not_shuffled_as_pairs(spark):
                 want.add((name, k))
     got = [(r.cell_id, r.polygon_id) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_strips_give_the_sums_of_circles():
+    """Random places, rows, lattices, lines both ways and knots, whole numbers exactly."""
+    r = np.random.default_rng(1)
+    shapes = [lambda n: r.random((n, 2)) * 50, lambda n: np.stack([r.random(n) * 50, r.integers(0, 40, n)], axis=1), lambda n: r.integers(0, 12, (n, 2)).astype(float), lambda n: np.stack([np.full(n, 3.0), r.random(n) * 50], axis=1),
+              lambda n: np.stack([r.random(n) * 50, np.full(n, 3.0)], axis=1), lambda n: np.concatenate([r.normal(size=(n, 2)) * 1e-3, r.random((n, 2)) * 100]) + 1e6]
+    for k in range(120):
+        a, b = (shapes[k % 6](int(r.integers(1, 300))) for _ in "ab")
+        radius, values = float(r.choice([0.0, 1.0, 5.0, 7.5, 20.0, 1e-3, 200.0])), np.column_stack([np.ones(len(b)), r.normal(size=len(b))])
+        got = np.zeros((len(a), 2))
+        for at, sums in tiles.circle_sums(a[:, 0], a[:, 1], b[:, 0], b[:, 1], values, radius):
+            got[at] += sums
+        want = (np.hypot(0, np.sqrt((a[:, :1] - b[:, 0]) ** 2 + (a[:, 1:] - b[:, 1]) ** 2)) <= radius).astype(float) @ values
+        assert (got[:, 0] == want[:, 0]).all() and np.abs(got - want).max() < 1e-9
+
+
+def test_distances_that_round_to_the_radius_are_inside(spark):
+    """As in SQL, where the root is compared: the squares of these add up to one unit above 6400."""
+    df = spark.createDataFrame([(1, 2.36841, 0.0), (2, 50.368410000000004, 64.0)], "cell_id int, x double, y double")
+    assert [x.neighbors for x in P.neighbor_counts(df, [80.0]).collect()] == [1, 1]
+    assert P.radius_neighbors(df, 80.0).count() == 2
