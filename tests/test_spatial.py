@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +202,16 @@ def test_distances_that_round_to_the_radius_are_inside(spark):
     df = spark.createDataFrame([(1, 2.36841, 0.0), (2, 50.368410000000004, 64.0)], "cell_id int, x double, y double")
     assert [x.neighbors for x in P.neighbor_counts(df, [80.0]).collect()] == [1, 1]
     assert P.radius_neighbors(df, 80.0).count() == 2
+
+
+def test_a_point_is_sent_once_to_a_crowded_tile(spark, monkeypatch):
+    def arrivals(id_):
+        def run(batches):
+            for b in batches:
+                points = b.filter(pc.equal(b.column("kind"), 1))
+                yield pa.RecordBatch.from_arrays([points.column("case_id"), points.column(id_), points.column("polygon_id")], ["case_id", id_, "polygon_id"])
+        return run
+    monkeypatch.setattr(P, "_inside", arrivals)
+    v = spark.createDataFrame([(k, 0, 0, i, x, y) for k in range(600) for i, (x, y) in enumerate([(1.0, 1.0), (20.0, 2.0), (10.0, 20.0)])], "polygon_id long, part int, ring int, seq int, x double, y double")
+    pts = spark.createDataFrame([(i, 2.0 + i / 10, 5.0) for i in range(40)], "cell_id int, x double, y double")
+    assert P.point_in_polygon(pts, v, 25.0).count() == 40
